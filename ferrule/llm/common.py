@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: ASCII white space: the separators of words.  Everything else is a word character.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -122,3 +124,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
         .collect()
     )
     return sorted(((r.doc_id, r.text, r.y) for r in rows), key=lambda r: r[0])
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """`mapInArrow` with this package shipped to the workers that run `function`."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
