@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def held_out(mod: int, remainder: int, col: str = "doc_id") -> Column:
 def byte_slices(batch: pa.RecordBatch, text_column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about `limit` bytes of text each (one row at least),
     so that what is held per slice is bounded by the limit or by the longest single text."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
@@ -91,8 +92,9 @@ def sigmoid(x: float) -> float:
     return e / (1.0 + e)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, per_class: int, max_chars: int) -> list:
-    """A bounded, reproducible sample of labelled texts, outside the held-out fold.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, per_class: int, max_chars: int) -> tuple[list, float]:
+    """A bounded, reproducible sample of labelled texts outside the held-out fold, as
+    (doc_id, text, label) rows, and the share of label 1 among all labelled ids of the fold.
 
     At most `per_class` ids of each label value, those of smallest xxhash64(id), and at most
     `max_chars` characters of each text reach the driver; this bounds what *fitting* sees and
@@ -107,13 +109,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
         .where("y = y2")
         .select("doc_id", "y")
     )
+    totals = {r.y: r["count"] for r in votes.groupBy("y").count().collect()}
     ids = [
         (r.doc_id, r.y)
-        for y in (0, 1)
+        for y in sorted(totals)
         for r in votes.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
     ]
     if not ids:
-        return []
+        return [], 0.5
     wanted = F.broadcast(documents.sparkSession.createDataFrame(ids, "doc_id long, y int"))
     rows = (
         documents.select(F.col("doc_id"), F.substring(F.col("text"), 1, max_chars).alias("text"))
@@ -123,7 +126,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
         .agg(F.min("text").alias("text"), F.first("y").alias("y"))
         .collect()
     )
-    return sorted(((r.doc_id, r.text, r.y) for r in rows), key=lambda r: r[0])
+    return sorted(((r.doc_id, r.text, r.y) for r in rows), key=lambda r: r[0]), totals.get(1, 0) / sum(totals.values())
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:

@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> dict:
-    """Newton steps on standardised features; both classes weigh the same, so that a score of
-    0.5 is even evidence whatever their shares in the sample."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1.0, steps: int = 30) -> dict:
+    """Newton steps on standardised features; the classes weigh as in the population, where
+    class 1 has the given share, whatever their numbers in the sample."""
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
-    share = max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)
-    w = np.where(y == 1, 0.5 / share[0], 0.5 / share[1])
+    own = float(y.mean())
+    w = np.where(y == 1, share / max(own, 1e-9), (1 - share) / max(1 - own, 1e-9))
     beta = np.zeros(z.shape[1])
     penalty = np.diag([1e-3] + [ridge] * x.shape[1])
     for _ in range(steps):

@@ -9,6 +9,7 @@ repeats itself is small under either dictionary, so the difference alone cannot
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,13 @@ def build_dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[-DICTIONARY:].ljust(16, b" ")
 
 
+def without_shared_lines(texts: list[bytes]) -> list[bytes]:
+    """The texts less the lines that several of them hold: boilerplate says nothing of quality,
+    and a dictionary that held it for one class only would favour that class."""
+    holders = Counter(line for t in texts for line in set(t.split(b"\n")))
+    return [b"\n".join(line for line in t.split(b"\n") if holders[line] == 1) for t in texts]
+
+
 class Sizer:
     """Compressed sizes of texts under both dictionaries."""
 
@@ -77,20 +85,21 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", mod: in
     halves swap, so that no text is scored under a dictionary that holds it.  Without labels of
     both classes every score is 0.5.
     """
-    rows = labelled_sample(documents, labels, label, mod, remainder, per_class, max_chars)
+    rows, share = labelled_sample(documents, labels, label, mod, remainder, per_class, max_chars)
     texts = [t.encode("utf-8", "surrogatepass") for _, t, _ in rows]
+    own = without_shared_lines(texts)
     y = np.array([v for *_, v in rows])
     if len(set(y.tolist())) < 2:
         return {"good": b" " * 16, "bad": b" " * 16, "curve": None}
     half = np.arange(len(rows)) % 2
     parts = []
     for side in (0, 1):
-        pick = lambda v: [t for t, a, h in zip(texts, y, half, strict=True) if a == v and h == side]  # noqa: E731, B023
+        pick = lambda v: [t for t, a, h in zip(own, y, half, strict=True) if a == v and h == side]  # noqa: E731, B023
         parts.append(Sizer(build_dictionary(pick(1)), build_dictionary(pick(0))))
     f = np.array([parts[1 - h].features(t) for t, h in zip(texts, half, strict=True)])
-    curve = fit_logistic(expand(f), y)
-    good = build_dictionary([t for t, a in zip(texts, y, strict=True) if a == 1])
-    bad = build_dictionary([t for t, a in zip(texts, y, strict=True) if a == 0])
+    curve = fit_logistic(expand(f), y, share)
+    good = build_dictionary([t for t, a in zip(own, y, strict=True) if a == 1])
+    bad = build_dictionary([t for t, a in zip(own, y, strict=True) if a == 0])
     return {"good": good, "bad": bad, "curve": curve}
 
 

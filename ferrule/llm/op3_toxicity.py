@@ -44,7 +44,7 @@ _SIGNED = re.compile(r"[@$!]+(?=[^\W_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*]){2,}[^\W_](?![^\W_])")
 _OTHER = re.compile(r"[\W_]+")
 #: Bounds of what fitting sees: ids per class, and characters of each of their texts.
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
+SAMPLE, SAMPLE_CHARS = 1500, 8_000
 THRESHOLD = 0.5
 LONGEST = 12
 
@@ -59,45 +59,57 @@ def fold(text: str) -> str:
     return " " + _OTHER.sub(" ", t).strip() + " "
 
 
-def mine(toxic: list[str], clean: list[str], least_docs: int = 3, least_ratio: float = 8.0, most: int = 2000) -> dict[str, float]:
-    """Lexicon of folded texts: pattern -> weight.
-
-    Patterns start at a word's start; one that ends in a blank is a whole word, any other a
-    word's beginning of 4 letters or more.  A pattern stays if at least `least_docs` toxic
-    texts hold it and its rate there is `least_ratio` times that in clean text; of nested
-    patterns with nearly equal counts the longest stays, and one that a kept beginning
-    already implies goes."""
-
-    def count(texts: list[str]) -> tuple[Counter, Counter, int]:
-        tokens, docs, n = Counter(), Counter(), 0
-        for t in texts:
-            words = Counter(t.split())
-            n += sum(words.values())
-            own: Counter = Counter()
-            for w, c in words.items():
-                own[f" {w} "] += c
-                for k in range(4, min(len(w), LONGEST) + 1):
-                    own[" " + w[:k]] += c
-            tokens.update(own)
-            docs.update(own.keys())
-        return tokens, docs, max(n, 1)
-
-    t_tokens, t_docs, t_n = count(toxic)
-    c_tokens, _, c_n = count(clean)
+def tally(texts: list[str], only: set[str] | None = None) -> tuple[Counter, Counter, int, int]:
+    """Tokens and texts by pattern (within `only`), and the numbers of words and texts.
+
+    A pattern starts at a word's start; one that ends in a blank is a whole word, any other a
+    word's beginning of 4 letters or more."""
+    tokens, docs, n = Counter(), Counter(), 0
+    for t in texts:
+        own: Counter = Counter()
+        for w, c in Counter(t.split()).items():
+            n += c
+            for p in (f" {w} ", *(" " + w[:k] for k in range(4, min(len(w), LONGEST) + 1))):
+                if only is None or p in only:
+                    own[p] += c
+        tokens.update(own)
+        docs.update(own.keys())
+    return tokens, docs, n, len(texts)
+
+
+def mine(toxic: list[str], clean: list[str], least_docs: int = 3, least_ratio: float = 8.0, least_evidence: float = 25.0, most: int = 2000) -> dict[str, float]:
+    """Lexicon of folded texts: pattern -> weight, the log of the ratio of its rates.
+
+    A pattern stays if at least `least_docs` toxic texts hold it, its rate there is
+    `least_ratio` times that in clean text, and the log-likelihood ratio of the texts that hold
+    it is `least_evidence` or more (many patterns are tried, so chance finds must be kept out).
+    Of nested beginnings with nearly equal counts the longest stays; a longer one that adds
+    nothing to a kept beginning goes."""
+    t_tokens, t_docs, t_n, t_all = tally(toxic)
+    candidates = {p for p, d in t_docs.items() if d >= least_docs}
+    c_tokens, c_docs, c_n, c_all = tally(clean, candidates)
+
+    def evidence(p: str) -> float:
+        k, m = t_docs[p], c_docs[p]
+        rate = (k + m) / (t_all + c_all)
+        part = lambda x, n, q: (x * math.log(x / (n * q)) if x else 0.0) + ((n - x) * math.log((n - x) / (n * (1 - q))) if n > x and q < 1 else 0.0)
+        return 2 * (part(k, t_all, rate) + part(m, c_all, rate)) if k / t_all > m / max(c_all, 1) else 0.0
+
     found = {}
-    for p, docs in t_docs.items():
-        if docs >= least_docs and (ratio := ((t_tokens[p] + 0.5) / t_n) / ((c_tokens[p] + 0.5) / c_n)) >= least_ratio:
+    for p in candidates:
+        ratio = ((t_tokens[p] + 0.5) / max(t_n, 1)) / ((c_tokens[p] + 0.5) / max(c_n, 1))
+        if ratio >= least_ratio and evidence(p) >= least_evidence:
             found[p] = math.log(ratio)
-    kept: dict[str, float] = {}
+    kept: set[str] = set()
     for p in sorted(found, key=lambda p: (p.endswith(" "), len(p), p)):
-        stem = p.rstrip(" ") if p.endswith(" ") else p
-        shorter = next((stem[:k] for k in range(len(stem) - (not p.endswith(" ")), 4, -1) if stem[:k] in kept), None)
+        stem, whole = p.rstrip(" "), p.endswith(" ")
+        shorter = next((stem[:k] for k in range(len(stem) - (not whole), 4, -1) if stem[:k] in kept), None)
         if shorter is None:
-            kept[p] = found[p]
-        elif not p.endswith(" ") and t_tokens[p] >= 0.9 * t_tokens[shorter]:
-            del kept[shorter]
-            kept[p] = found[p]
-    best = sorted(kept, key=lambda p: (-found[p] * t_docs[p], p))[:most]
+            kept.add(p)
+        elif not whole and t_tokens[p] >= 0.9 * t_tokens[shorter]:
+            kept.remove(shorter)
+            kept.add(p)
+    best = sorted(kept, key=lambda p: (-evidence(p), p))[:most]
     return {p: round(found[p], 6) for p in sorted(best)}
 
 
@@ -141,7 +153,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", mod: int
     """Mines the lexicon on one half of the sample and calibrates on the other, both ways round
     for the curve; the lexicon used is that of the whole sample.  Without labels of both
     classes the lexicon is empty and every score is 0.5."""
-    rows = labelled_sample(documents, labels, label, mod, remainder, per_class, max_chars)
+    rows, share = labelled_sample(documents, labels, label, mod, remainder, per_class, max_chars)
     folded = [fold(t) for _, t, _ in rows]
     y = np.array([v for *_, v in rows])
     if len(set(y.tolist())) < 2:
@@ -154,7 +166,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", mod: int
         for i in np.flatnonzero(half == side):
             f[i] = features(automaton, folded[i])
     lexicon = mine([t for t, a in zip(folded, y, strict=True) if a == 1], [t for t, a in zip(folded, y, strict=True) if a == 0])
-    return {"lexicon": lexicon, "curve": fit_logistic(f, y)}
+    return {"lexicon": lexicon, "curve": fit_logistic(f, y, share)}
 
 
 def toxicity(documents: DataFrame, model: dict, exceptions=EXCEPTIONS) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_quality_classifier, op3_toxicity, op7_packing, op10_language_id
+from . import op1_quality_rules, op2_quality_classifier, op3_toxicity, op4_mixing, op7_packing, op10_language_id
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules.query,
     "op2_quality_classifier": op2_quality_classifier.query,
     "op3_toxicity": op3_toxicity.query,
+    "op4_mixing": op4_mixing.query,
     "op7_packing": op7_packing.query,
     "op10_language_id": op10_language_id.query,
 }
