@@ -47,6 +47,8 @@ _OTHER = re.compile(r"[\W_]+")
 SAMPLE, SAMPLE_CHARS = 1500, 8_000
 THRESHOLD = 0.5
 LONGEST = 12
+#: Share of a text's words from which a pattern is dense in it.
+DENSE = 0.005
 
 
 def fold(text: str) -> str:
@@ -59,12 +61,14 @@ def fold(text: str) -> str:
     return " " + _OTHER.sub(" ", t).strip() + " "
 
 
-def tally(texts: list[str], only: set[str] | None = None) -> tuple[Counter, Counter, int, int]:
-    """Tokens and texts by pattern (within `only`), and the numbers of words and texts.
+def tally(texts: list[str], only: set[str] | None = None) -> tuple[Counter, Counter, Counter, int, int]:
+    """By pattern (within `only`): tokens, texts, and texts where it is dense; and the numbers
+    of words and texts.
 
     A pattern starts at a word's start; one that ends in a blank is a whole word, any other a
     word's beginning of 4 letters or more."""
-    tokens, docs, n = Counter(), Counter(), 0
+    tokens, docs, dense, n = Counter(), Counter(), Counter(), 0
+    sum_of = lambda t: t.count(" ") - 1
     for t in texts:
         own: Counter = Counter()
         for w, c in Counter(t.split()).items():
@@ -74,23 +78,28 @@ def tally(texts: list[str], only: set[str] | None = None) -> tuple[Counter, Coun
                     own[p] += c
         tokens.update(own)
         docs.update(own.keys())
-    return tokens, docs, n, len(texts)
+        dense.update(p for p, c in own.items() if c >= 2 and c >= DENSE * sum_of(t))
+    return tokens, docs, dense, n, len(texts)
 
 
-def mine(toxic: list[str], clean: list[str], least_docs: int = 3, least_ratio: float = 8.0, least_evidence: float = 25.0, most: int = 2000) -> dict[str, float]:
+def mine(toxic: list[str], clean: list[str], least_docs: int = 3, least_ratio: float = 8.0, least_evidence: float = 18.0, most: int = 2000) -> dict[str, float]:
     """Lexicon of folded texts: pattern -> weight, the log of the ratio of its rates.
 
     A pattern stays if at least `least_docs` toxic texts hold it, its rate there is
     `least_ratio` times that in clean text, and the log-likelihood ratio of the texts that hold
-    it is `least_evidence` or more (many patterns are tried, so chance finds must be kept out).
+    it, or where it is dense, is `least_evidence` or more (many patterns are tried, so chance finds must be kept out).
     Of nested beginnings with nearly equal counts the longest stays; a longer one that adds
     nothing to a kept beginning goes."""
-    t_tokens, t_docs, t_n, t_all = tally(toxic)
+    t_tokens, t_docs, t_dense, t_n, t_all = tally(toxic)
     candidates = {p for p, d in t_docs.items() if d >= least_docs}
-    c_tokens, c_docs, c_n, c_all = tally(clean, candidates)
+    c_tokens, c_docs, c_dense, c_n, c_all = tally(clean, candidates)
 
     def evidence(p: str) -> float:
-        k, m = t_docs[p], c_docs[p]
+        return max(ratio_test(t_docs[p], c_docs[p]), ratio_test(t_dense[p], c_dense[p]))
+
+    def ratio_test(k: int, m: int) -> float:
+        if not k:
+            return 0.0
         rate = (k + m) / (t_all + c_all)
         part = lambda x, n, q: (x * math.log(x / (n * q)) if x else 0.0) + ((n - x) * math.log((n - x) / (n * (1 - q))) if n > x and q < 1 else 0.0)
         return 2 * (part(k, t_all, rate) + part(m, c_all, rate)) if k / t_all > m / max(c_all, 1) else 0.0
