@@ -56,12 +56,14 @@ def _words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(documents: DataFrame, mod: int = 4, remainder: int = 2, per_lang: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> dict:
     """n-gram log likelihoods from at most `per_lang` texts of each language value outside the
-    held-out fold (those of smallest xxhash64(id)); null texts and null languages are left out."""
-    from pyspark.sql import Window
-
+    held-out fold, taken by the hash of their ids; null texts and null languages are left out."""
     known = documents.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(mod, remainder))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("doc_id", "lang").distinct().collect()
+    # a language's share of hash space that holds about twice the texts wanted: what reaches the
+    # driver is bounded without gathering a language's rows in one task
+    counts = known.groupBy("lang").count().collect()
+    share = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(min(1.0, 2 * per_lang / r["count"]))) for r in counts), F.lit(0.0))
+    near = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().collect()
+    ids = [r for lang in {r.lang for r in counts} for r in sorted((r for r in near if r.lang == lang), key=lambda r: (r.h, r.doc_id))[:per_lang]]
     if not ids:
         return {"langs": [], "table": np.zeros((1 << TABLE_BITS, 0), np.float32)}
     wanted = F.broadcast(documents.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in ids], "doc_id long, lang string"))
