@@ -133,3 +133,17 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """`mapInArrow` with this package shipped to the workers that run `function`."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def where_text(df: DataFrame, keep) -> DataFrame:
+    """The rows of `df`, all columns as they are, whose texts `keep` accepts; it is called once
+    per task and gives a function from a list of texts (None for null) to a list of booleans."""
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepts = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(accepts(batch.column(at).to_pylist()), pa.bool_()))
+
+    ship(df.sparkSession)
+    return df.mapInArrow(run, df.schema)

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_arrow, read_table
+from .common import held_out, labelled_sample, map_arrow, read_table, where_text
 from .fitting import fit_logistic, predict_logistic
 
 BLOCK = 1024
@@ -83,7 +83,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", mod: in
 
     Half of the sample builds the dictionaries and the other half the calibration, then the
     halves swap, so that no text is scored under a dictionary that holds it.  Without labels of
-    both classes every score is 0.5.
+    both classes every score is 1.
     """
     rows, share = labelled_sample(documents, labels, label, mod, remainder, per_class, max_chars)
     texts = [t.encode("utf-8", "surrogatepass") for _, t, _ in rows]
@@ -103,16 +103,12 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", mod: in
     return {"good": good, "bad": bad, "curve": curve}
 
 
-def score_batches(model: dict, id_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizer = Sizer(model["good"], model["bad"])
-        for batch in batches:
-            texts = (b.as_buffer() if b.is_valid else None for b in batch.column(1).cast(pa.large_binary()))
-            f = np.array([sizer.features(t.to_pybytes() if t is not None else b"") for t in texts]).reshape(-1, 4)
-            p = np.full(len(f), 0.5) if model["curve"] is None else predict_logistic(model["curve"], expand(f))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(p, 6)), pa.array(np.round(f[:, 0], 6))], names=["doc_id", "score", "size_difference"])
-
-    return run
+def scores(model: dict, sizer: Sizer, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and size differences; where nothing was learned the score is 1 (nothing is known
+    to be bad)."""
+    f = np.array([sizer.features((t or "").encode("utf-8", "surrogatepass")) for t in texts]).reshape(-1, 4)
+    p = np.ones(len(f)) if model["curve"] is None else predict_logistic(model["curve"], expand(f))
+    return np.round(p, 6), np.round(f[:, 0], 6)
 
 
 def quality_classifier(documents: DataFrame, model: dict) -> DataFrame:
@@ -122,7 +118,24 @@ def quality_classifier(documents: DataFrame, model: dict) -> DataFrame:
     sizes; repeated rows are scored each; an empty table gives an empty table; other columns
     are not read.  Texts are scored whole, one at a time.
     """
-    return map_arrow(documents.select("doc_id", "text"), score_batches(model, pa.int64()), "doc_id long, score double, size_difference double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizer = Sizer(model["good"], model["bad"])
+        for batch in batches:
+            p, difference = scores(model, sizer, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(difference)], names=["doc_id", "score", "size_difference"])
+
+    return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, score double, size_difference double")
+
+
+def keep_good(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that score `threshold` or more."""
+
+    def keep():
+        sizer = Sizer(model["good"], model["bad"])
+        return lambda texts: (scores(model, sizer, texts)[0] >= threshold).tolist()
+
+    return where_text(documents, keep)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_arrow, read_table
+from .common import held_out, labelled_sample, map_arrow, read_table, where_text
 from .fitting import fit_logistic, predict_logistic
 
 #: Look-alike letters (fixed values).
@@ -161,7 +161,7 @@ def features(automaton: ahocorasick.Automaton, folded: str) -> tuple[float, floa
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, remainder: int = 0, per_class: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> dict:
     """Mines the lexicon on one half of the sample and calibrates on the other, both ways round
     for the curve; the lexicon used is that of the whole sample.  Without labels of both
-    classes the lexicon is empty and every score is 0.5."""
+    classes the lexicon is empty and every score is 0."""
     rows, share = labelled_sample(documents, labels, label, mod, remainder, per_class, max_chars)
     folded = [fold(t) for _, t, _ in rows]
     y = np.array([v for *_, v in rows])
@@ -178,6 +178,14 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", mod: int
     return {"lexicon": lexicon, "curve": fit_logistic(f, y, share)}
 
 
+def scores(model: dict, automaton: ahocorasick.Automaton, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and numbers of hits; where nothing was learned the score is 0 (nothing is known to
+    be toxic)."""
+    f = np.array([features(automaton, fold(t or "")) for t in texts]).reshape(-1, 2)
+    p = np.zeros(len(f)) if model["curve"] is None else predict_logistic(model["curve"], f)
+    return np.round(p, 6), np.rint(np.expm1(f[:, 1])).astype(np.int64)
+
+
 def toxicity(documents: DataFrame, model: dict, exceptions=EXCEPTIONS) -> DataFrame:
     """One row per input row: doc_id, score, n_hits; a map over the texts, no shuffle.
 
@@ -189,13 +197,22 @@ def toxicity(documents: DataFrame, model: dict, exceptions=EXCEPTIONS) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton(model["lexicon"], exceptions)
         for batch in batches:
-            f = np.array([features(automaton, fold(t.as_py() or "")) for t in batch.column(1)]).reshape(-1, 2)
-            p = np.full(len(f), 0.5) if model["curve"] is None else predict_logistic(model["curve"], f)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(p, 6)), pa.array(np.rint(np.expm1(f[:, 1])).astype("int64"))], names=["doc_id", "score", "n_hits"])
+            p, n = scores(model, automaton, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(n)], names=["doc_id", "score", "n_hits"])
 
     return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, score double, n_hits long")
 
 
+def drop_toxic(documents: DataFrame, model: dict, threshold: float = THRESHOLD, exceptions=EXCEPTIONS) -> DataFrame:
+    """The rows, with all their columns, that score below `threshold`."""
+
+    def keep():
+        automaton = build_automaton(model["lexicon"], exceptions)
+        return lambda texts: (scores(model, automaton, texts)[0] < threshold).tolist()
+
+    return where_text(documents, keep)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     model = fit(documents, read_table(spark, sf_dir, "labels"))

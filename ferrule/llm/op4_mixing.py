@@ -30,10 +30,14 @@ BROADCAST_SOURCES = 50_000
 _KEY = ["doc_id", "source", "size"]
 
 
+def sized_column():
+    """Number of words of the whole text (null: 0)."""
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of the whole text (null: 0)."""
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return documents.select("doc_id", "source", size.alias("size"))
+    """doc_id, source, size."""
+    return documents.select("doc_id", "source", sized_column().alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -168,6 +172,19 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
     return cube_sample(joined).withColumn("copies", (F.col("whole") + F.col("pi")).cast("long")).select(*_KEY, "n", "source_size", "target", "copies")
 
 
+def mix_documents(documents: DataFrame) -> DataFrame:
+    """The rows as often as the mix takes them, with all their columns.  Rows equal in id, source
+    and size are taken together."""
+    kept = documents.columns
+    names = [f"{c}__unit" for c in (*_KEY, "copies")]
+    units = mix(materialize(sized(documents), "sizes")).where("copies > 0").select(*(F.col(c).alias(n) for c, n in zip((*_KEY, "copies"), names, strict=True)))
+    units = materialize(units, "copies")
+    size = sized_column()
+    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & F.col("source").eqNullSafe(F.col(names[1])) & (size == F.col(names[2]))
+    side = F.broadcast(units) if units.count() <= BROADCAST_SOURCES else units
+    return documents.join(side, same).withColumn(names[0], F.explode(F.array_repeat(F.lit(0), F.col(names[3]).cast("int")))).select(*kept)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     mixed = mix(materialize(sized(read_table(spark, sf_dir, "documents")), "sizes"))
     rows = mixed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))

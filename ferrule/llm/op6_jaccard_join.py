@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..shipping import ship
 from .common import byte_slices, map_arrow, materialize, read_table, remove, shuffle_parts
@@ -37,6 +38,8 @@ RANGE_POSTINGS, BLOCK, SLICE = 2_000_000, 2048, 2 << 20
 PAIRS_PER_SET, ROUNDS = 8, 8
 #: Components above this many rows are looked up from a broadcast table of at most `HOT_ROWS`.
 HOT, HOT_ROWS = 5_000, 100_000
+#: Rows that deduplication drops are broadcast up to this many (24 bytes each), else shuffled.
+BROADCAST_COPIES = 500_000
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -365,6 +368,19 @@ def link_sets(sets: DataFrame) -> DataFrame:
     return labels
 
 
+def members(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows as doc_id, n_shingles, sid; and those with shingles as doc_id, n_shingles, sid,
+    component."""
+    spark = documents.sparkSession
+    rows = materialize(document_sets(documents), "documents")
+    volume = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(shuffle_parts(spark), -(-volume // RANGE_POSTINGS))
+    sets = materialize(prefixes(shared_postings(postings(documents, buckets))), "sets")
+    moved = link_sets(sets).where("sid <> component")
+    held = rows.where("n_shingles > 0").join(moved, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component"))
+    return rows, materialize(held, "members")
+
+
 def jaccard_join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id per input row; component_id is the smallest doc_id that
     links reach.
@@ -375,15 +391,7 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     same result each; a null doc_id counts in no minimum (null if a component has no other);
     an empty table gives an empty table; other columns are not read.
     """
-    spark = documents.sparkSession
-    rows = materialize(document_sets(documents), "documents")
-    volume = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(shuffle_parts(spark), -(-volume // RANGE_POSTINGS))
-    sets = materialize(prefixes(shared_postings(postings(documents, buckets))), "sets")
-    labels = link_sets(sets)
-    moved = labels.where("sid <> component")
-    held = rows.where("n_shingles > 0").join(moved, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component", "sid").alias("component"))
-    held = materialize(held, "members")
+    rows, held = members(documents)
     ids = materialize(held.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
     large = ids.where(F.col("n") > HOT).select("component", F.col("component_id").alias("large_id"), F.lit(True).alias("large"))
     if large.count() <= HOT_ROWS:
@@ -396,5 +404,37 @@ def jaccard_join(documents: DataFrame) -> DataFrame:
     return found.unionByName(bare)
 
 
+def deduplicate(documents: DataFrame) -> DataFrame:
+    """The rows, with all their columns, less all but one of each component.
+
+    The row with the smallest doc_id stays (a null id only if the component has no other); of
+    rows with the same id and the same shingles, any one.  Rows without shingles all stay.  The
+    texts are not shuffled while the rows to drop fit the broadcast bound.
+    """
+    _, held = members(documents)
+    keys = held.groupBy("doc_id", "sid", "component").agg(F.count(F.lit(1)).alias("k"))
+    best = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")).alias("w"))
+    best = best.select(F.col("w.doc_id").alias("_best_id"), F.col("w.sid").alias("_best_sid"))
+    won = keys.join(best, keys.doc_id.eqNullSafe(F.col("_best_id")) & (keys.sid == F.col("_best_sid")), "left")
+    marked = materialize(won.select("doc_id", "sid", "k", F.col("_best_sid").isNotNull().alias("stays")).where("NOT stays OR k > 1"), "copies")
+    mark, sid = (f"_{n}_{len(documents.columns)}" for n in ("stays", "sid"))
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text", SLICE):
+                ids = [set_id(s) if len(s) else None for s in shingle_sets(part.column(at))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.int64())], names=[*part.schema.names, sid])
+
+    ship(documents.sparkSession)
+    known = documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(sid, LongType())]))
+    side = marked.select(F.col("doc_id").alias("_marked_id"), F.col("sid").alias("_marked_sid"), F.col("stays").alias(mark))
+    side = F.broadcast(side) if marked.count() <= BROADCAST_COPIES else side
+    joined = known.join(side, known["doc_id"].eqNullSafe(F.col("_marked_id")) & (known[sid] == F.col("_marked_sid")), "left")
+    alone = joined.where(F.col(mark).isNull()).select(*documents.columns)
+    repeated = joined.where(F.col(mark)).select(*documents.columns, sid).dropDuplicates(["doc_id", sid]).select(*documents.columns)
+    return alone.unionByName(repeated)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
