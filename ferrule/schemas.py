@@ -1,0 +1,12 @@
+"""Schemas of the stored tables."""
+
+from __future__ import annotations
+
+FILES = "id long, path string, name string, parent string, size long, mtime_ns long, hash string, vector_hash string, extract_kind string, body string, snippet string, generation long"
+DIRS = "id long, path string, parent_path string, name string, depth long, file_count long, tokens string"
+VECTORS = "id long, vector array<double>, model_id string"
+CODES = "id long, q array<tinyint>, scale double"
+POSTINGS = "id long, term string, tf_path long, tf_name long, tf_body long"
+TOPICS = "topic int, label string, files long"
+FILE_TOPICS = "id long, topic int, distance double"
+RESULTS = "position int, kind int, id long, path string, score double, cosine double, dense_rank int, lexical_rank int, rerank double, file_count long, topic_distance double, snippet string"
