@@ -10,11 +10,12 @@
    hashed into groups, the counts as coordinates.  The sum of coordinate minima bounds the
    overlap of two sets, and of two boxes of an R-tree; pairs whose bound reaches the
    threshold are verified on the shingles.
-5. What links is one component, so a group first asks only for pairs with a hub, round by
-   round; the R-tree then joins the sets of different components that are left.  Groups above
-   a bound are cut into blocks, so no task holds a whole large group.
+5. What links is one component, so a group first asks only for pairs with a hub, then for the
+   nearest points of each set in the tree; at last the tree joins all sets of different
+   components that are left.  Groups above a bound are cut into blocks, so no task holds a
+   whole large group.
 
-No step drops or caps candidates; hubs and blocks only order the work.
+No step drops or caps candidates; hubs, nearest points and blocks only order the work.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ from ..shipping import ship
 from .common import byte_slices, map_arrow, materialize, read_table, remove, shuffle_parts
 
 WORDS, PERCENT = 5, 80
-GROUPS, NODE = 32, 32
+GROUPS, NODE, FULL = 64, 32, 65_535
 RANGE_POSTINGS, BLOCK, SLICE = 2_000_000, 2048, 2 << 20
-#: Hub rounds end when the pairs left are at most this many per set (or after `ROUNDS`).
-PAIRS_PER_SET, ROUNDS = 8, 8
+#: All pairs are asked for once those left are at most this many per set, once a round links
+#: less than a hundredth of the sets, or after `ROUNDS`.
+PAIRS_PER_SET, ROUNDS = 8, 4
 #: Components above this many rows are looked up from a broadcast table of at most `HOT_ROWS`.
 HOT, HOT_ROWS = 5_000, 100_000
 #: Rows that deduplication drops are broadcast up to this many (24 bytes each), else shuffled.
@@ -154,14 +156,20 @@ def postings(documents: DataFrame, buckets: int) -> DataFrame:
     return map_arrow(documents.select("text"), run, "bucket int, sids binary, sizes binary, counts binary, hashes binary")
 
 
-def shared_postings(blobs: DataFrame) -> DataFrame:
-    """sid, n, hashes, df: per set and hash range, the shingles that two sets or more hold."""
+def _whole(table: pa.Table, name: str, kind) -> np.ndarray:
+    parts = [np.frombuffer(b, kind) for b in table.column(name).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def shared_postings(blobs: DataFrame, parts: int) -> DataFrame:
+    """part, sids, sizes, counts, hashes, df: per hash range and part of the set ids, the
+    shingles that two sets or more hold, packed as in `postings`; df is cut at 65535, which
+    keeps the order of all rarer ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        whole = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in table.column(name).to_pylist()])
-        counts, h = whole("counts", np.int64), whole("hashes", _U)
+        counts, h = _whole(table, "counts", np.int64), _whole(table, "hashes", _U)
         owner = np.repeat(np.arange(len(counts)), counts)
-        sids, sizes = whole("sids", np.int64), whole("sizes", np.int64)
+        sids, sizes = _whole(table, "sids", np.int64), _whole(table, "sizes", np.int64)
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
         again = np.flatnonzero(np.concatenate([h[1:] == h[:-1], [False]]) | np.concatenate([[False], h[1:] == h[:-1]]))
@@ -172,49 +180,60 @@ def shared_postings(blobs: DataFrame) -> DataFrame:
         keep = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])]) if len(h) else np.zeros(0, bool)
         h, sid, owner = h[keep], sid[keep], owner[keep]
         _, back, df = np.unique(h, return_inverse=True, return_counts=True)
-        df = df[back]
+        df = df[back] if len(h) else df
         keep = df > 1
-        h, sid, owner, df = h[keep], sid[keep], owner[keep], df[keep]
-        order = np.lexsort((h, sid))
-        h, sid, owner, df = h[order], sid[order], owner[order], df[order].astype(np.int64)
-        own, cut = np.unique(sid, return_index=True)
-        ends = np.append(cut[1:], len(h))
-        return pa.table({
-            "sid": pa.array(own, pa.int64()),
-            "n": pa.array(sizes[owner[cut]] if len(cut) else [], pa.int64()),
-            "hashes": pa.array([h[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()),
-            "df": pa.array([df[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()),
-        })
+        h, sid, owner, df = h[keep], sid[keep], owner[keep], np.minimum(df[keep], 65535).astype("<u2")
+        part = sid % parts
+        order = np.lexsort((sid, part))
+        h, sid, owner, df, part = h[order], sid[order], owner[order], df[order], part[order]
+        used, cut = np.unique(part, return_index=True)
+        rows: list = [[], [], [], [], [], []]
+        for p, i, j in zip(used, cut, np.append(cut[1:], len(h)), strict=True):
+            who, first, k = np.unique(sid[i:j], return_index=True, return_counts=True)
+            for column, v in zip(rows, (int(p), who.tobytes(), sizes[owner[i:j][first]].tobytes(), k.astype(np.int64).tobytes(), h[i:j].tobytes(), df[i:j].tobytes()), strict=True):
+                column.append(v)
+        return pa.table([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["part", "sids", "sizes", "counts", "hashes", "df"])
 
     ship(blobs.sparkSession)
-    return blobs.groupBy("bucket").applyInArrow(run, "sid long, n long, hashes binary, df binary")
+    return blobs.groupBy("bucket").applyInArrow(run, "part int, sids binary, sizes binary, counts binary, hashes binary, df binary")
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    """Shingles per group; `FULL` in all coordinates if one does not fit, which bounds nothing."""
+    counts = np.bincount((hashes & _U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return (counts if counts.max() < FULL else np.full(GROUPS, FULL)).astype("<u2")
+
+
+def coordinates(vectors: np.ndarray) -> np.ndarray:
+    wide = vectors.astype(np.int64)
+    wide[wide == FULL] = 1 << 40
+    return wide
 
 
 def prefixes(shared: DataFrame) -> DataFrame:
     """sid, n, hashes (sorted), vec, keys of the sets that can have a partner."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list = [[], [], [], [], []]
-            for sid, n, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = np.concatenate([np.frombuffer(p["hashes"], _U) for p in parts])
-                df = np.concatenate([np.frombuffer(p["df"], np.int64) for p in parts])
-                # n - t + 1 rarest shingles, of which those no other set holds come first
-                length = n - least_overlap(n) + 1 - (n - len(h))
-                if length > 0:
-                    keys = h[np.lexsort((h, df))[:length]]
-                    h = np.sort(h)
-                    for column, v in zip(rows, (sid, n, h.tobytes(), count_vector(h).tobytes(), keys.view(np.int64)), strict=True):
-                        column.append(v)
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["sid", "n", "hashes", "vec", "keys"])
-
-    gathered = shared.groupBy("sid", "n").agg(F.collect_list(F.struct("hashes", "df")).alias("parts"))
-    return map_arrow(gathered, run, "sid long, n long, hashes binary, vec binary, keys array<long>")
+    def run(table: pa.Table) -> pa.Table:
+        sids, sizes, counts = (_whole(table, c, np.int64) for c in ("sids", "sizes", "counts"))
+        h, df = _whole(table, "hashes", _U), _whole(table, "df", "<u2")
+        sid, size = np.repeat(sids, counts), np.repeat(sizes, counts)
+        order = np.lexsort((h, df, sid))
+        h, sid, size = h[order], sid[order], size[order]
+        used, cut = np.unique(sid, return_index=True)
+        rows: list = [[], [], [], [], []]
+        for i, j in zip(cut, np.append(cut[1:], len(h)), strict=True):
+            n = int(size[i])
+            # n - t + 1 rarest shingles, of which those no other set holds come first
+            length = n - least_overlap(n) + 1 - (n - (j - i))
+            if length > 0:
+                own = np.sort(h[i:j])
+                for column, v in zip(rows, (int(sid[i]), n, own.tobytes(), count_vector(own).tobytes(), h[i : i + length].view(np.int64)), strict=True):
+                    column.append(v)
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["sid", "n", "hashes", "vec", "keys"])
+
+    ship(shared.sparkSession)
+    return shared.groupBy("part").applyInArrow(run, "sid long, n long, hashes binary, vec binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,7 +246,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 least = needed(n, m)
                 x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                keep.append(int(np.minimum(count_vector(x), count_vector(y)).sum()) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
+                keep.append(int(np.minimum(coordinates(count_vector(x)), coordinates(count_vector(y))).sum()) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
@@ -259,14 +278,15 @@ def connect(edges: DataFrame) -> DataFrame:
         seen = found
 
 
-def tree_pairs(n: np.ndarray, vec: np.ndarray, component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places whose sets may link: the R-tree of the points joined with itself.
+def tree_pairs(n: np.ndarray, vec: np.ndarray, component: np.ndarray, side: np.ndarray, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places whose sets may link: the R-tree of the points joined with itself.  With
+    `nearest`, each place keeps that many partners, those of the largest bounds.
 
     Points are packed into leaves by size and then by their heaviest coordinate; a box of
     leaves bounds what it holds.  Pairs of one component, and pairs on one side of a block of
     two sides, are left out."""
     order = np.lexsort((vec.argmax(1), n))
-    n, vec, component, side = n[order], vec[order].astype(np.int64), component[order], side[order]
+    n, vec, component, side = n[order], vec[order], component[order], side[order]
     cuts = np.arange(0, len(n), NODE)
     high, low_n, high_n = np.maximum.reduceat(vec, cuts), np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts)
     found: list = []
@@ -290,14 +310,22 @@ def tree_pairs(n: np.ndarray, vec: np.ndarray, component: np.ndarray, side: np.n
                 ok &= side[a] != side[b]
             a, b = may(a[ok], b[ok], vec, n, n)
             if len(a):
-                found.append((order[a], order[b]))
+                found.append((a, b))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    if nearest is not None:
+        share = np.concatenate([np.minimum(vec[a[i : i + 65_536]], vec[b[i : i + 65_536]]).sum(1) for i in range(0, len(a), 65_536)]) / (n[a] + n[b])
+        ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+        by_end = np.lexsort((pair, -share[pair], ends))
+        place = np.arange(len(by_end)) - np.searchsorted(ends[by_end], ends[by_end])
+        keep = np.unique(pair[by_end[place < nearest]])
+        a, b = a[keep], b[keep]
+    return order[a], order[b]
 
 
-def block_pairs(entries: DataFrame) -> DataFrame:
-    """a, b: candidate pairs of the key groups in `entries` (key, sid, n, vec, component, m).
+def block_pairs(entries: DataFrame, nearest: int | None = None) -> DataFrame:
+    """a, b: candidate pairs (the `nearest` per set and block, or all) of the key groups in `entries` (key, sid, n, vec, component, m).
 
     A group of m sets above `BLOCK` is dealt into c chunks by hash, and each pair of chunks is
     a block of its own, so a task holds two chunks at most."""
@@ -312,7 +340,7 @@ def block_pairs(entries: DataFrame) -> DataFrame:
         if len(rows) < 2:
             return None
         _, _, _, own, sid, n, vec, component = zip(*rows, strict=True)
-        a, b = tree_pairs(np.array(n), np.frombuffer(b"".join(vec), "<u4").reshape(-1, GROUPS), np.array(component), np.array(own))
+        a, b = tree_pairs(np.array(n), coordinates(np.frombuffer(b"".join(vec), "<u2").reshape(-1, GROUPS)), np.array(component), np.array(own), nearest)
         if not len(a):
             return None
         sid = np.array(sid)
@@ -334,38 +362,54 @@ def block_pairs(entries: DataFrame) -> DataFrame:
 
 
 def link_sets(sets: DataFrame) -> DataFrame:
-    """sid, component for the sets of `prefixes` rows: components of all pairs that link."""
+    """sid, component for the sets that link to a smaller set id: components of all pairs that
+    link.
+
+    First each group's sets are held against one hub, then against their nearest points in the
+    tree, twice as many each time while many pairs are left; then every pair of two components
+    that the tree lets through is verified."""
     spark = sets.sparkSession
     keys = sets.select(F.explode("keys").alias("key"), "sid", "n", "vec")
     wide = materialize(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key"), "entries")
-    labels = materialize(sets.select("sid", F.col("sid").alias("component")), "labels")
-    total = labels.count()
+    total = sets.count()
+    moved = spark.createDataFrame([], "sid long, component long")
+    n_moved = before = 0
+
+    def labelled(rows: DataFrame, sid: str, name: str) -> DataFrame:
+        side = moved.select(F.col("sid").alias(sid), F.col("component").alias("_to"))
+        side = F.broadcast(side) if n_moved <= BROADCAST_COPIES else side
+        return rows.join(side, sid, "left").withColumn(name, F.coalesce("_to", sid)).drop("_to")
 
     def merge(edges: DataFrame) -> None:
-        nonlocal labels
-        tied = edges.join(labels.select(F.col("sid").alias("a"), F.col("component").alias("u")), "a").join(labels.select(F.col("sid").alias("b"), F.col("component").alias("v")), "b").where("u <> v").select("u", "v")
+        nonlocal moved, n_moved
+        tied = labelled(labelled(edges, "a", "u"), "b", "v").where("u <> v").select("u", "v")
         roots = connect(tied)
-        fresh = labels.join(roots.withColumnRenamed("node", "component"), "component", "left").select("sid", F.coalesce("root", "component").alias("component"))
-        old, labels = labels, materialize(fresh, "labels")
-        remove(old)
+        known = moved.join(roots.withColumnRenamed("node", "component"), "component", "left").select("sid", F.coalesce("root", "component").alias("component"))
+        own = roots.select(F.col("node").alias("sid"), F.col("root").alias("component"))
+        moved = materialize(known.unionByName(own), "labels")
+        n_moved = moved.count()
 
     for r in range(ROUNDS + 1):
-        here = wide.join(labels, "sid")
-        per = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("sid", F.lit(r)), "sid", "n")).alias("h"))
+        here = labelled(wide, "sid", "component")
+        per = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("sid"), "sid", "n")).alias("h"))
         per = per.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count(F.lit(1)).alias("parts"), F.min(F.struct("h", "component")).alias("hub")).where("parts > 1")
         mixed_keys = materialize(per.select("key", "m", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("pairs"), F.col("hub.h.sid").alias("hub"), F.col("hub.h.n").alias("hub_n"), F.col("hub.component").alias("hub_component")), "keys")
         left = mixed_keys.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        if left <= PAIRS_PER_SET * total or r == ROUNDS:
-            rest = here.drop("m").join(mixed_keys.select("key", "m"), "key")
-            merge(verified(block_pairs(rest), sets))
+        if r == 0:
+            near = (F.col("n") * 100 >= F.col("hub_n") * PERCENT) & (F.col("hub_n") * 100 >= F.col("n") * PERCENT)
+            stars = here.drop("m", "vec").join(mixed_keys.drop("m"), "key").where((F.col("component") != F.col("hub_component")) & near)
+            pairs = stars.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+        else:
+            last = left <= PAIRS_PER_SET * total or n_moved - before <= total // 100 or r == ROUNDS
+            pairs = block_pairs(here.drop("m").join(mixed_keys.select("key", "m"), "key"), None if last else 1 << (r - 1))
+        before = n_moved
+        merge(verified(pairs, sets))
+        if r and last:
             break
-        near = (F.col("n") * 100 >= F.col("hub_n") * PERCENT) & (F.col("hub_n") * 100 >= F.col("n") * PERCENT)
-        stars = here.join(mixed_keys.drop("m"), "key").where((F.col("component") != F.col("hub_component")) & near)
-        merge(verified(stars.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct(), sets))
     remove(wide)
-    return labels
+    return moved
 
 
 def members(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -375,8 +419,8 @@ def members(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = materialize(document_sets(documents), "documents")
     volume = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(shuffle_parts(spark), -(-volume // RANGE_POSTINGS))
-    sets = materialize(prefixes(shared_postings(postings(documents, buckets))), "sets")
-    moved = link_sets(sets).where("sid <> component")
+    sets = materialize(prefixes(shared_postings(postings(documents, buckets), buckets)), "sets")
+    moved = link_sets(sets)
     held = rows.where("n_shingles > 0").join(moved, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component"))
     return rows, materialize(held, "members")
 
