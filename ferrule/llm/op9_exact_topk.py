@@ -13,7 +13,9 @@ The query set goes to all shards in blocks of bounded size, one block at a time.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -83,10 +85,15 @@ class Tree:
 
 def whole_numbers(vectors: list) -> np.ndarray:
     """floor(256 x); as floats while every inner product is exact in them, else as Python ints."""
-    x = np.floor(np.array(vectors, np.float64) * SCALE)
-    if x.size and float(np.abs(x).max()) ** 2 * x.shape[1] >= 2.0**52:
-        return np.array([[int(v) for v in row] for row in x.tolist()], object)
-    return x
+    x = np.array(vectors, np.float64)
+    if x.size and float(np.abs(x).max()) * SCALE >= (2.0**52 / x.shape[1]) ** 0.5:
+        return np.array([[math.floor(Fraction(v) * SCALE) for v in row] for row in x.tolist()], object).reshape(x.shape)
+    return np.floor(x * SCALE)
+
+
+def as_ints(x: np.ndarray) -> np.ndarray:
+    """Whole floats as Python ints, so that products with large ones stay exact."""
+    return x if x.dtype == object else np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -116,14 +123,17 @@ def _search(queries: dict, k: int):
         for shard in shards(batches):
             for dims in {len(x) for _, x in shard} & queries.keys():
                 ids = np.array([i for i, x in shard if len(x) == dims], np.int64)
-                tree = Tree(ids, whole_numbers([x for _, x in shard if len(x) == dims]))
+                x = whole_numbers([x for _, x in shard if len(x) == dims])
                 q_ids, q, floors = queries[dims]
+                if object in (x.dtype, q.dtype):
+                    x, q = as_ints(x), as_ints(q)
+                tree = Tree(ids, x)
                 for start in range(0, len(q_ids), 256):
                     part = slice(start, start + 256)
                     bounds = tree.bounds(q[part])
                     for row, own, vector, floor in zip(bounds, q_ids[part], q[part], floors[part], strict=True):
                         key = dims, int(own)
-                        best[key] = tree.search(row, vector, int(own), best.get(key, []), k, floor)
+                        best[key] = tree.search(row, vector, int(own), best.get(key, []), k, float(floor))
         rows = [(own, -n, max(-_LONG - 1, min(_LONG, int(s)))) for (_, own), found in best.items() for s, n in found]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
