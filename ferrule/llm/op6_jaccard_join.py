@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..shipping import ship
-from .common import byte_slices, map_arrow, materialize, read_table, remove, shuffle_parts
+from .common import byte_slices, map_arrow, materialize, read_table, release, remove, shuffle_parts
 
 WORDS, PERCENT = 5, 80
 GROUPS, NODE, FULL = 64, 32, 65_535
@@ -102,6 +102,18 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def pack(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of each hash, six bytes each: the hash range of a row stands for the rest."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data: bytes, bucket: int) -> np.ndarray:
+    """Shingle ids: the packed bits under the number of their hash range."""
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(_U) | _U(bucket % 65_536) << _U(48)
+
+
 def set_id(hashes: np.ndarray) -> int:
     return int(np.add.reduce(mixed(hashes ^ _P), dtype=_U).view(np.int64)) if len(hashes) else 0
 
@@ -149,7 +161,7 @@ def postings(documents: DataFrame, buckets: int) -> DataFrame:
                 rows: list = [[], [], [], [], []]
                 for b, a, z in zip(used, cut, np.append(cut[1:], len(h)), strict=True):
                     who, counts = np.unique(owner[a:z], return_counts=True)
-                    for column, v in zip(rows, (int(b), sids[who].tobytes(), sizes[who].tobytes(), counts.astype(np.int64).tobytes(), h[a:z].tobytes()), strict=True):
+                    for column, v in zip(rows, (int(b), sids[who].tobytes(), sizes[who].tobytes(), counts.astype(np.int64).tobytes(), pack(h[a:z])), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["bucket", "sids", "sizes", "counts", "hashes"])
 
@@ -162,12 +174,13 @@ def _whole(table: pa.Table, name: str, kind) -> np.ndarray:
 
 
 def shared_postings(blobs: DataFrame, parts: int) -> DataFrame:
-    """part, sids, sizes, counts, hashes, df: per hash range and part of the set ids, the
-    shingles that two sets or more hold, packed as in `postings`; df is cut at 65535, which
+    """part, bucket, sids, sizes, counts, hashes, df: per hash range and part of the set ids,
+    the shingles that two sets or more hold, packed as in `postings`; df is cut at 65535, which
     keeps the order of all rarer ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        counts, h = _whole(table, "counts", np.int64), _whole(table, "hashes", _U)
+        bucket = table.column("bucket")[0].as_py()
+        counts, h = _whole(table, "counts", np.int64), unpack(b"".join(table.column("hashes").to_pylist()), bucket)
         owner = np.repeat(np.arange(len(counts)), counts)
         sids, sizes = _whole(table, "sids", np.int64), _whole(table, "sizes", np.int64)
         order = np.argsort(h, kind="stable")
@@ -187,15 +200,15 @@ def shared_postings(blobs: DataFrame, parts: int) -> DataFrame:
         order = np.lexsort((sid, part))
         h, sid, owner, df, part = h[order], sid[order], owner[order], df[order], part[order]
         used, cut = np.unique(part, return_index=True)
-        rows: list = [[], [], [], [], [], []]
+        rows: list = [[], [], [], [], [], [], []]
         for p, i, j in zip(used, cut, np.append(cut[1:], len(h)), strict=True):
             who, first, k = np.unique(sid[i:j], return_index=True, return_counts=True)
-            for column, v in zip(rows, (int(p), who.tobytes(), sizes[owner[i:j][first]].tobytes(), k.astype(np.int64).tobytes(), h[i:j].tobytes(), df[i:j].tobytes()), strict=True):
+            for column, v in zip(rows, (int(p), bucket, who.tobytes(), sizes[owner[i:j][first]].tobytes(), k.astype(np.int64).tobytes(), pack(h[i:j]), df[i:j].tobytes()), strict=True):
                 column.append(v)
-        return pa.table([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["part", "sids", "sizes", "counts", "hashes", "df"])
+        return pa.table([*(pa.array(c, pa.int32()) for c in rows[:2]), *(pa.array(c, pa.binary()) for c in rows[2:])], names=["part", "bucket", "sids", "sizes", "counts", "hashes", "df"])
 
     ship(blobs.sparkSession)
-    return blobs.groupBy("bucket").applyInArrow(run, "part int, sids binary, sizes binary, counts binary, hashes binary, df binary")
+    return blobs.groupBy("bucket").applyInArrow(run, "part int, bucket int, sids binary, sizes binary, counts binary, hashes binary, df binary")
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
@@ -215,7 +228,8 @@ def prefixes(shared: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         sids, sizes, counts = (_whole(table, c, np.int64) for c in ("sids", "sizes", "counts"))
-        h, df = _whole(table, "hashes", _U), _whole(table, "df", "<u2")
+        h = np.concatenate([unpack(b, k) for b, k in zip(table.column("hashes").to_pylist(), table.column("bucket").to_pylist(), strict=True)])
+        df = _whole(table, "df", "<u2")
         sid, size = np.repeat(sids, counts), np.repeat(sizes, counts)
         order = np.lexsort((h, df, sid))
         h, sid, size = h[order], sid[order], size[order]
@@ -369,7 +383,7 @@ def link_sets(sets: DataFrame) -> DataFrame:
     tree, twice as many each time while many pairs are left; then every pair of two components
     that the tree lets through is verified."""
     spark = sets.sparkSession
-    keys = sets.select(F.explode("keys").alias("key"), "sid", "n", "vec")
+    keys = sets.select(F.explode("keys").alias("key"), "sid", "n")
     wide = materialize(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key"), "entries")
     total = sets.count()
     moved = spark.createDataFrame([], "sid long, component long")
@@ -399,11 +413,12 @@ def link_sets(sets: DataFrame) -> DataFrame:
             break
         if r == 0:
             near = (F.col("n") * 100 >= F.col("hub_n") * PERCENT) & (F.col("hub_n") * 100 >= F.col("n") * PERCENT)
-            stars = here.drop("m", "vec").join(mixed_keys.drop("m"), "key").where((F.col("component") != F.col("hub_component")) & near)
+            stars = here.drop("m").join(mixed_keys.drop("m"), "key").where((F.col("component") != F.col("hub_component")) & near)
             pairs = stars.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
         else:
             last = left <= PAIRS_PER_SET * total or n_moved - before <= total // 100 or r == ROUNDS
-            pairs = block_pairs(here.drop("m").join(mixed_keys.select("key", "m"), "key"), None if last else 1 << (r - 1))
+            rest = here.drop("m").join(mixed_keys.select("key", "m"), "key").join(sets.select("sid", "vec"), "sid")
+            pairs = block_pairs(rest, None if last else 1 << (r - 1))
         before = n_moved
         merge(verified(pairs, sets))
         if r and last:
@@ -420,6 +435,7 @@ def members(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     volume = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(shuffle_parts(spark), -(-volume // RANGE_POSTINGS))
     sets = materialize(prefixes(shared_postings(postings(documents, buckets), buckets)), "sets")
+    release(spark)
     moved = link_sets(sets)
     held = rows.where("n_shingles > 0").join(moved, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component"))
     return rows, materialize(held, "members")
