@@ -27,34 +27,41 @@ def top_dense(vectors: DataFrame, query, k: int = CANDIDATES, floor: float | Non
     return best if floor is None else best.where(F.col("score") >= floor)
 
 
-def top_dense_batch(vectors: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
-    """query_id, id, score, rank for many queries: a matrix product per batch of rows, the k
-    best per query and task, then a window over those."""
-
-    def search(ids: np.ndarray, matrix: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = None
-            for batch in batches:
-                own = np.array(batch.column(0).to_pylist(), np.int64)
-                rows = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(own):
-                    continue
-                scores, own = np.round(matrix @ rows.T, 6), np.broadcast_to(own, (len(ids), len(own)))
-                if best is not None:
-                    scores, own = np.hstack([best[0], scores]), np.hstack([best[1], own])
-                order = np.lexsort((own, -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, 1), np.take_along_axis(own, order, 1)
+def _search(ids: np.ndarray, matrix: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            own = np.array(batch.column(0).to_pylist(), np.int64)
+            if not len(own):
+                continue
+            rows = np.array(batch.column(1).to_pylist(), np.float64)
+            scores, own = np.round(matrix @ rows.T, 6), np.broadcast_to(own, (len(ids), len(own)))
             if best is not None:
-                n = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], names=["query_id", "id", "score"])
+                scores, own = np.hstack([best[0], scores]), np.hstack([best[1], own])
+            order = np.lexsort((own, -scores), axis=1)[:, :k]
+            best = np.take_along_axis(scores, order, 1), np.take_along_axis(own, order, 1)
+        if best is not None:
+            n = best[0].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], names=["query_id", "id", "score"])
 
-        return run
+    return run
 
+
+def top_dense_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, id, score, rank for all rows of `queries` (query_id, vector): a matrix product
+    per batch of rows, the k best per query and task, then a window over those.
+
+    The queries go out in blocks of about `block`, each of which alone passes the driver."""
     ship(vectors.sparkSession)
+    blocks = max(1, -(-queries.count() // block))
+    rows = vectors.where(F.col("vector").isNotNull()).select("id", "vector")
     out = None
-    for start in range(0, len(queries), QUERY_BLOCK):
-        block = queries[start : start + QUERY_BLOCK]
-        part = vectors.where(F.col("vector").isNotNull()).select("id", "vector").mapInArrow(search(np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)), "query_id long, id long, score double")
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
+        if not own:
+            continue
+        found = _search(np.array([r.query_id for r in own], np.int64), np.array([r.vector for r in own], np.float64), k)
+        part = rows.mapInArrow(found, "query_id long, id long, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return vectors.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where(F.lit(False))

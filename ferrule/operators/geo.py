@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A city table has tens of thousands of rows; one beyond this bound is refused.
 MOST_PLACES = 500_000
 
 
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated table of lat, lon and "City, Country"; lines that begin with # are
+    comments, lines that do not parse are left out."""
+    rows = spark.read.csv(path, sep="\t", comment="#", schema="lat double, lon double, place string", mode="DROPMALFORMED")
+    return rows.where("lat IS NOT NULL AND lon IS NOT NULL AND place IS NOT NULL").withColumn("number", F.monotonically_increasing_id())
+
+
 def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
     """Points (id, lat, lon, ...) with place and place_number of the nearest city (lat, lon,
     place, number), the first of equals; null off the globe.

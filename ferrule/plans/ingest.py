@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed_values import REFRESH_SECONDS
 from ..functions import models
 from ..functions import text as T
 from ..operators import changes, dense, hierarchy, lexical
@@ -70,9 +73,25 @@ def scan(spark: SparkSession, folder: str, files: DataFrame, roots: list[str], e
         store.write("postings", lexical.postings(indexed).sortWithinPartitions("term"))
         store.write("lengths", lexical.lengths(indexed))
         store.set_meta("generation", str(generation))
+        for r in scopes or roots:
+            store.set_meta(f"root-{hashlib.sha1(r.encode()).hexdigest()}", f"{generation} {int(time.time())}")
         return Scan(generation, changes.scan_stats(found).first().asDict())
 
 
+def root_state(spark: SparkSession, folder: str, root: str) -> tuple[int, int] | None:
+    """Generation and time of a root's last scan."""
+    text = Snapshots(spark, folder).get_meta(f"root-{hashlib.sha1(root.encode()).hexdigest()}")
+    return tuple(map(int, text.split())) if text else None
+
+
+def due(spark: SparkSession, folder: str, root: str, refresh: str, now: int | None = None) -> str:
+    """"never", "elapsed" or "no"; a last scan in the future counts as just done."""
+    state, interval = root_state(spark, folder, root), REFRESH_SECONDS[refresh]
+    if state is None:
+        return "never"
+    return "elapsed" if interval is not None and (now or int(time.time())) - state[1] >= interval else "no"
+
+
 def open_index(spark: SparkSession, folder: str, roots: tuple = ()):
     """The stored index, ready for `search`."""
     from .search import Index

@@ -171,8 +171,8 @@ def dense_topk_floor(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
 )
 def dense_topk_batch(spark, d):
-    asked = corpus.vectors(spark, d).where("id % 10 = 0").select("id", "vector").collect()
-    return dense.top_dense_batch(corpus.vectors(spark, d), [(r.id, r.vector) for r in asked], 10)
+    asked = corpus.vectors(spark, d).where("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
+    return dense.top_dense_batch(corpus.vectors(spark, d), asked, 10)
 
 
 # --- quantised store -----------------------------------------------------------------------

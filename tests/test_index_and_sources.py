@@ -68,6 +68,9 @@ def test_an_index_follows_its_tree(spark, tree, tmp_path):
     path.unlink()
     gone = scan()
     assert (gone["deleted"], gone["seen"]) == (1, 7)
+    generation, at = ingest.root_state(spark, index, root)
+    assert generation == 5 and ingest.due(spark, index, root, "daily", at + 10) == "no" and ingest.due(spark, index, root, "daily", at + 86_400) == "elapsed"
+    assert ingest.due(spark, index, "/other", "manual") == "never"
     found = search.search(ingest.open_index(spark, index, (root,)), search.SearchRequest("wage tax", query_vector=tuple(e.embed_query("wage tax")), floor=0.0))
     rows = found.orderBy("position").collect()
     assert "W2" in rows[0].path and all(r.path != root for r in rows) and any(r.kind == 1 for r in rows)

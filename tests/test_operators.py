@@ -128,6 +128,11 @@ def test_nearest_place(spark):
     assert {r.id: r.place for r in geo.nearest_place(points, places).collect()} == {1: "Sarajevo", 2: None, 3: None}
 
 
+def test_city_table(spark, tmp_path):
+    (tmp_path / "cities.tsv").write_text("# lat\tlon\tplace\n43.85\t18.38\tSarajevo, Bosnia\nbroken\n44.8\t20.46\tBelgrade, Serbia\n")
+    assert [r.place for r in geo.read_places(spark, str(tmp_path / "cities.tsv")).orderBy("number").collect()] == ["Sarajevo, Bosnia", "Belgrade, Serbia"]
+
+
 def test_percentiles_are_nearest_rank(spark):
     values = [5.0, 1.0, 3.0, 3.0, 9.0, 2.0]
     df = spark.createDataFrame([("g", v) for v in values], "g string, v double")

@@ -120,11 +120,13 @@ def test_batch_search_equals_single_searches(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(5)
-    many = {(r.query_id, r["rank"]): (r.id, r.score) for r in dense.top_dense_batch(df, [(i, x[i]) for i in range(4)], 5).collect()}
+    asked = df.where("id < 4").select(F.col("id").alias("query_id"), "vector")
+    many = {(r.query_id, r["rank"]): (r.id, r.score) for r in dense.top_dense_batch(df, asked, 5, block=3).collect()}
+    assert len(many) == 20
     for i in range(4):
         for r in dense.top_dense(df, x[i].tolist(), 5).collect():
             assert many[i, r["rank"]] == (r.id, r.score)
-    assert dense.top_dense_batch(df, [], 5).count() == 0
+    assert dense.top_dense_batch(df, asked.limit(0), 5).count() == 0
 
 
 def test_blend(spark):
@@ -152,3 +154,8 @@ def test_models():
     assert models.effective_reranker("none", "substring") is None and models.effective_reranker(None, "substring").model_id == "substring"
     with pytest.raises(FileNotFoundError):
         models.OnnxEmbedder("/nowhere", 8, "x").embed_docs(["a"])
+
+
+def test_measured_models():
+    report = models.measure(models.HashingEmbedder(), 20)
+    assert report["docs_per_second"] > 0 and report["margin"] > 0 and report["hours_for"](0) == 0
