@@ -42,7 +42,11 @@ _SIGNS = str.maketrans(SIGNS)
 _MIXED = re.compile(r"[^\W_]*(?:[0-9][^\W\d_]|[^\W\d_][0-9])[^\W_]*")
 _SIGNED = re.compile(r"[@$!]+(?=[^\W_])")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][.\-_*]){2,}[^\W_](?![^\W_])")
+_SPACED_SIGN = re.compile(r"[.\-_*][^\W_][.\-_*]")
+_DIGIT = re.compile("[0-9]")
 _OTHER = re.compile(r"[\W_]+")
+_FOLDED = frozenset(map(chr, _FOLD))
+_BLANKED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 #: Bounds of what fitting sees: ids per class, and characters of each of their texts.
 SAMPLE, SAMPLE_CHARS = 1500, 8_000
 THRESHOLD = 0.5
@@ -52,13 +56,24 @@ DENSE = 0.005
 
 
 def fold(text: str) -> str:
-    """Lower-case words of letters and digits, single blanks between and around them."""
-    t = text.lower().translate(_FOLD)
+    """Lower-case words of letters and digits, single blanks between and around them.
+
+    Each step is tried only where its signs occur: most texts need none but the last."""
+    t = text.lower()
+    if not t.isascii():
+        beyond = {c for c in set(t) if c > "\x7f"}
+        if not beyond.isdisjoint(_FOLDED):
+            t = t.translate(_FOLD)
+        if others := {ord(c): " " for c in beyond if not c.isalnum() and c not in _FOLDED}:
+            t = t.translate(others)
     if "@" in t or "$" in t or "!" in t:
         t = _SIGNED.sub(lambda m: m[0].translate(_SIGNS), t)
-    t = _SPACED.sub(lambda m: _OTHER.sub("", m[0]), t)
-    t = _MIXED.sub(lambda m: m[0].translate(_DIGITS), t)
-    return " " + _OTHER.sub(" ", t).strip() + " "
+    if _SPACED_SIGN.search(t):
+        t = _SPACED.sub(lambda m: _OTHER.sub("", m[0]), t)
+    if _DIGIT.search(t):
+        t = _MIXED.sub(lambda m: m[0].translate(_DIGITS), t)
+    words = t.encode("utf-8", "surrogatepass").translate(_BLANKED).split()
+    return " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
 
 
 def tally(texts: list[str], only: set[str] | None = None) -> tuple[Counter, Counter, Counter, int, int]:
@@ -68,17 +83,25 @@ def tally(texts: list[str], only: set[str] | None = None) -> tuple[Counter, Coun
     A pattern starts at a word's start; one that ends in a blank is a whole word, any other a
     word's beginning of 4 letters or more."""
     tokens, docs, dense, n = Counter(), Counter(), Counter(), 0
-    sum_of = lambda t: t.count(" ") - 1
+    known: dict[str, list[str]] = {}
+
+    def patterns(w: str) -> list[str]:
+        if (found := known.get(w)) is None:
+            found = [p for p in (f" {w} ", *(" " + w[:k] for k in range(4, min(len(w), LONGEST) + 1))) if only is None or p in only]
+            known[w] = found
+        return found
+
     for t in texts:
+        words = Counter(t.split())
+        total = sum(words.values())
+        n += total
         own: Counter = Counter()
-        for w, c in Counter(t.split()).items():
-            n += c
-            for p in (f" {w} ", *(" " + w[:k] for k in range(4, min(len(w), LONGEST) + 1))):
-                if only is None or p in only:
-                    own[p] += c
+        for w, c in words.items():
+            for p in patterns(w):
+                own[p] += c
         tokens.update(own)
         docs.update(own.keys())
-        dense.update(p for p, c in own.items() if c >= 2 and c >= DENSE * sum_of(t))
+        dense.update(p for p, c in own.items() if c >= 2 and c >= DENSE * total)
     return tokens, docs, dense, n, len(texts)
 
 
