@@ -27,6 +27,8 @@ SHARE, CAP = 1.5, 2.0
 CHUNK = 2048
 #: A table of sources up to this many rows is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: Likewise for the table of units that the mix takes (some 80 bytes a row).
+BROADCAST_UNITS = 1_000_000
 _KEY = ["doc_id", "source", "size"]
 
 
@@ -181,7 +183,7 @@ def mix_documents(documents: DataFrame) -> DataFrame:
     units = materialize(units, "copies")
     size = sized_column()
     same = F.col("doc_id").eqNullSafe(F.col(names[0])) & F.col("source").eqNullSafe(F.col(names[1])) & (size == F.col(names[2]))
-    side = F.broadcast(units) if units.count() <= BROADCAST_SOURCES else units
+    side = F.broadcast(units) if units.count() <= BROADCAST_UNITS else units
     return documents.join(side, same).withColumn(names[0], F.explode(F.array_repeat(F.lit(0), F.col(names[3]).cast("int")))).select(*kept)
 
 

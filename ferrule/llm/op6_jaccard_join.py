@@ -251,23 +251,31 @@ def prefixes(shared: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b of the pairs of set ids whose count vectors and then whose shingles reach the
-    threshold."""
+    """a, b of the pairs of set ids that link.  Count vectors, a few bytes a set, rule out most
+    of the others before any shingles travel."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (coordinates(np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, GROUPS)) for i in (4, 5))
+            kept = batch.filter(pa.array(np.minimum(x, y).sum(1) >= needed(n, m)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:4], names=["a", "b", "na", "nb"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                least = needed(n, m)
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                keep.append(int(np.minimum(coordinates(count_vector(x)), coordinates(count_vector(y))).sum()) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
+                keep.append(len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True)) >= needed(n, m))
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["a", "b"])
+
+    def side(end: str, what: str) -> DataFrame:
+        return sets.select(F.col("sid").alias(end), *([F.col("n").alias(f"n{end}")] if what == "vec" else []), F.col(what).alias(f"{what}_{end}"))
 
-    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    two = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ha", "hb")
-    return map_arrow(both, run, "a long, b long")
+    points = pairs.select("a", "b").join(side("a", "vec"), "a").join(side("b", "vec"), "b").select("a", "b", "na", "nb", "vec_a", "vec_b")
+    near = map_arrow(points, bounded, "a long, b long, na long, nb long")
+    whole = near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "na", "nb", "hashes_a", "hashes_b")
+    return map_arrow(whole, exact, "a long, b long")
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -402,6 +410,7 @@ def link_sets(sets: DataFrame) -> DataFrame:
         own = roots.select(F.col("node").alias("sid"), F.col("root").alias("component"))
         moved = materialize(known.unionByName(own), "labels")
         n_moved = moved.count()
+        release(spark)
 
     for r in range(ROUNDS + 1):
         here = labelled(wide, "sid", "component")
