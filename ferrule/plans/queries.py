@@ -395,7 +395,7 @@ fused AS (
 SELECT position, c.kind, c.id, coalesce(files.path, n.path) AS path, c.score, dense.score AS cosine, dense.rank AS dense_rank, coalesce(l.rank, dl.rank) AS lexical_rank
 FROM chosen c LEFT JOIN files ON c.kind = 0 AND files.id = c.id LEFT JOIN numbered_dirs n ON c.kind = 1 AND n.id = c.id
 LEFT JOIN dense ON c.kind = 0 AND dense.id = c.id LEFT JOIN lexical l ON c.kind = 0 AND l.id = c.id LEFT JOIN dir_lexical dl ON c.kind = 1 AND dl.id = c.id
-WHERE position <= 40""",
+WHERE position <= 40 AND (c.kind = 1 OR files.path IS NOT NULL)""",
 )
 def hybrid_search(spark, d):
     found = S.search(index_of(spark, d), S.SearchRequest(QUERY_TEXT, floor=0.1, query_vector=tuple(vector_of(spark, d))))
@@ -406,7 +406,7 @@ def hybrid_search(spark, d):
     "search_lines",
     f"""WITH {HYBRID}
 SELECT position, CASE WHEN c.kind = 1 THEN 'directory:' || n.path ELSE files.path END AS line
-FROM chosen c LEFT JOIN files ON c.kind = 0 AND files.id = c.id LEFT JOIN numbered_dirs n ON c.kind = 1 AND n.id = c.id WHERE position <= 40""",
+FROM chosen c LEFT JOIN files ON c.kind = 0 AND files.id = c.id LEFT JOIN numbered_dirs n ON c.kind = 1 AND n.id = c.id WHERE position <= 40 AND (c.kind = 1 OR files.path IS NOT NULL)""",
 )
 def search_lines(spark, d):
     found = S.search(index_of(spark, d), S.SearchRequest(QUERY_TEXT, floor=0.1, query_vector=tuple(vector_of(spark, d))))
@@ -415,8 +415,9 @@ def search_lines(spark, d):
 
 @query(
     "search_topic_only",
-    f"""WITH {FILES}, {NUMBERED}, m AS (SELECT t.id, t.distance FROM file_topics t WHERE topic = 2 ORDER BY distance, id LIMIT 40)
-SELECT row_number() OVER (ORDER BY -m.distance DESC, m.id)::INTEGER AS position, m.id, path, m.distance AS topic_distance FROM m JOIN files USING (id)""",
+    f"""WITH {FILES}, {NUMBERED}, m AS (SELECT t.id, t.distance FROM file_topics t WHERE topic = 2 ORDER BY distance, id LIMIT 40),
+r AS (SELECT *, row_number() OVER (ORDER BY distance, id)::INTEGER AS position FROM m)
+SELECT position, r.id, path, r.distance AS topic_distance FROM r JOIN files USING (id)""",
 )
 def search_topic_only(spark, d):
     return S.search(index_of(spark, d, True), S.SearchRequest(topic=2)).select("position", "id", "path", "topic_distance")
@@ -712,3 +713,74 @@ def streaming_ingest(spark, d):
     running = stream.ingest_stream(files, f"{target}/rows", f"{target}/checkpoint")
     running.awaitTermination()
     return stream.ingested(spark, f"{target}/rows").select("id", "path", "body", "hash", "snippet")
+
+
+# --- further functions ---------------------------------------------------------------------
+LABEL_TOKEN = f"""strlen(term) BETWEEN 2 AND 32 AND NOT regexp_matches(term, '^[0-9]+$') AND NOT regexp_matches(term, '^[0-9a-fA-F]{{6,}}$')
+  AND NOT (strlen(term) = 2 AND NOT regexp_matches(term, '[0-9]')) AND NOT regexp_matches(term, '^d[0-9a-fA-F]{{2}}$') AND NOT regexp_matches(term, '^cd[0-9]$')
+  AND NOT (length(regexp_replace(term, '[^0-9]', '', 'g')) >= 4 AND strlen(term) <= 8) AND term NOT IN ({listed([*LABEL_STOPWORDS, *FORMAT_WORDS])})"""
+
+
+@query("label_token_filter", f"SELECT term, {LABEL_TOKEN} AS keeps FROM (SELECT DISTINCT unnest({tokens('text')}) AS term FROM documents)")
+def label_token_filter(spark, d):
+    terms = corpus.read_table(spark, d, "documents").select(F.explode(T.index_tokens(F.col("text"))).alias("term")).distinct()
+    return terms.select("term", T.keeps_label_token(F.col("term")).alias("keeps"))
+
+
+@query(
+    "file_kinds",
+    f"""WITH {FILES}, x AS (SELECT id, regexp_extract(name, '[^.]*$') AS ext, regexp_extract(parent, '[^/]*$') AS folder FROM files)
+SELECT id, ext, ext IN ({listed(MEDIA_EXTENSIONS)}) AS is_media, ext IN ({listed(SOURCE_EXTENSIONS)}) AS is_source, folder || ' · ' || ext AS label FROM x""",
+)
+def file_kinds(spark, d):
+    path = F.col("path")
+    return corpus.files(spark, d, ("id", "path")).select("id", T.extension(path).alias("ext"), T.is_media(path).alias("is_media"), T.is_source(path).alias("is_source"), T.fallback_label(path).alias("label"))
+
+
+@query(
+    "gps_pairs",
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 AND abs(c_custkey % 250 - 125) <= 90 THEN (c_custkey % 250 - 125)::DOUBLE END AS lat,
+CASE WHEN c_custkey % 3 > 0 AND abs(c_custkey % 250 - 125) <= 90 THEN (c_custkey % 360 - 180)::DOUBLE END AS lon FROM customer""",
+)
+def gps_pairs(spark, d):
+    k = F.col("c_custkey")
+    lat, lon = (k % 250 - 125).cast("string"), (k % 360 - 180).cast("string")
+    output = F.concat(F.lit("Title\n"), lat, F.lit("\n"), F.when(k % 3 > 0, lon).otherwise(F.lit("no number")), F.lit("\n\n"))
+    pair = T.gps_pair(output)
+    return corpus.read_table(spark, d, "customer").select(k.alias("id"), pair["lat"].alias("lat"), pair["lon"].alias("lon"))
+
+
+@query("rerank_texts", f"WITH {FILES} SELECT id, sha256(name || chr(10) || substring(body, 1, 2000)) AS hash FROM files")
+def rerank_texts(spark, d):
+    text = T.rerank_text(F.lit(0), F.col("path"), F.col("name"), F.col("body"))
+    return corpus.files(spark, d, ("id", "path", "name", "body")).select("id", F.sha2(text, 256).alias("hash"))
+
+
+@query(
+    "bm25_in_topic",
+    f"""WITH {FILES}, {NUMBERED}, {bm25_sql('lexical', 'files', TERMS, BM25_FILE_WEIGHTS, 'id IN (SELECT id FROM file_topics WHERE topic = 1)')} SELECT * FROM lexical""",
+)
+def bm25_in_topic(spark, d):
+    own = file_topics(spark, d)[2].where("topic = 1").select("id")
+    return lexical.top(lexical.bm25(corpus.files(spark, d), QUERY_TEXT).join(own, "id", "left_semi"))
+
+
+@query("roots_without_nesting", "SELECT DISTINCT '/corpus/' || lang AS root FROM documents")
+def roots_without_nesting(spark, d):
+    rows = corpus.read_table(spark, d, "documents").select(F.concat(F.lit("/corpus/"), "lang").alias("root")).distinct()
+    configured = [r.root for r in rows.collect()]  # a configuration's roots: one per language here
+    kept = walk.dedupe_nested([*configured, *(f"{r}/src1" for r in configured)])
+    return spark.createDataFrame([(r,) for r in kept], "root string")
+
+
+@query("embed_files")
+def embed_files(spark, d):
+    rel = T.relative_path(F.col("path"), F.lit(corpus.ROOT))
+    rows = corpus.files(spark, d).select("id", T.embed_text(rel, T.name_tokens(rel), T.normalize_ws(F.col("body"), 256)).alias("text"))
+    return models.embed(rows, models.EMBEDDERS["hashing-64"], "id", "text").select("id", F.round(V.norm(F.col("vector")), 9).alias("norm"))
+
+
+@query("hybrid_search_reranked")
+def hybrid_search_reranked(spark, d):
+    request = S.SearchRequest(QUERY_TEXT, floor=0.1, query_vector=tuple(vector_of(spark, d)), scopes=tuple(SCOPES))
+    return S.search(index_of(spark, d), request, models.SubstringReranker())

@@ -56,20 +56,32 @@ def split_scope(words: list[str], exists=os.path.isdir) -> tuple[list[str], str]
     return words[:n], " ".join(words[n:])
 
 
+def local(df: DataFrame) -> DataFrame:
+    """Rows of a ranked list as a local relation.  Lists are cut to a few hundred rows before
+    they come here, so that what is read for them afterwards can be asked for by id."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def by_id(rows: DataFrame, keys: DataFrame, kind: int) -> DataFrame:
+    """The rows whose ids are among the (kind, id) keys, as a filter that reaches the scan: the
+    texts of a few rows are read, not those of all."""
+    ids = [r.id for r in keys.where(F.col("kind") == kind).select("id").collect()]
+    return rows.where(F.col("id").isin(ids) if ids else F.lit(False))
+
+
 def _results(df: DataFrame, index: Index) -> DataFrame:
-    """Adds path, snippet, file_count to (kind, id) rows; rows whose file or directory is gone
-    drop out."""
-    files = index.files.select(F.lit(0).alias("kind"), "id", "path", T.snippet(F.col("body")).alias("snippet"), F.lit(None).cast("long").alias("file_count"))
-    dirs = index.dirs.select(F.lit(1).alias("kind"), "id", "path", F.lit(None).cast("string").alias("snippet"), F.col("file_count").cast("long"))
-    shown = F.broadcast(df)  # at most the request's limit of rows
-    return files.join(shown, ["kind", "id"]).unionByName(dirs.join(shown, ["kind", "id"]))
+    """Adds path, snippet, file_count to local (kind, id) rows; rows whose file or directory is
+    gone drop out."""
+    files = by_id(index.files, df, 0).select(F.lit(0).alias("kind"), "id", "path", T.snippet(F.col("body")).alias("snippet"), F.lit(None).cast("long").alias("file_count"))
+    dirs = by_id(index.dirs, df, 1).select(F.lit(1).alias("kind"), "id", "path", F.lit(None).cast("string").alias("snippet"), F.col("file_count").cast("long"))
+    return files.unionByName(dirs).join(F.broadcast(df), ["kind", "id"])
 
 
 def topic_listing(index: Index, topic: int, limit: int) -> DataFrame:
     hits = index.file_topics.where(F.col("topic") == topic).orderBy("distance", "id").limit(limit)
     listed = ranking.ranked(hits.select("id", (-F.col("distance")).alias("score"), "distance"))
     columns = listed.select(F.lit(0).alias("kind"), "id", F.lit(0.0).alias("score"), F.col("rank").alias("position"), F.col("distance").alias("topic_distance"))
-    return _results(columns, index)
+    return _results(local(columns), index)
 
 
 def arms(index: Index, request: SearchRequest) -> dict[str, DataFrame]:
@@ -116,15 +128,17 @@ def search(index: Index, request: SearchRequest, reranker=None) -> DataFrame:
     found = arms(index, request)
     empty = index.files.select("id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where(F.lit(False))
     kinds = {name: 0 if name.startswith("file") else 1 for name in ranking.ARM_WEIGHTS}
+    found = {name: local(df) for name, df in found.items()}
     if request.topic is None:
-        positions = ranking.merged_files(found.get("file_dense", empty), found.get("file_lexical", empty)).where(F.col("position") <= 2 * CANDIDATES)
-        parents = index.files.select("id", "parent").join(index.dirs.select(F.col("path").alias("parent"), F.col("id").alias("parent_id")), "parent").select("id", "parent_id")
+        positions = local(ranking.merged_files(found.get("file_dense", empty), found.get("file_lexical", empty)).where(F.col("position") <= 2 * CANDIDATES))
+        parents = by_id(index.files, positions.withColumn("kind", F.lit(0)), 0).select("id", "parent").join(index.dirs.select(F.col("path").alias("parent"), F.col("id").alias("parent_id")), "parent").select("id", "parent_id")
         roots = index.dirs.where(F.col("path").isin(*index.roots)).select("id") if index.roots else None
-        found["dir_children"] = ranking.children_arm(positions, parents, roots)
-    fused = ranking.fuse([ranking.arm(df, name, kinds[name]) for name, df in found.items()])
+        found["dir_children"] = local(ranking.children_arm(positions, parents, roots))
+    fused = local(ranking.fuse([ranking.arm(df, name, kinds[name]) for name, df in found.items()]))
     if reranker is not None and request.mode != "lexical":
         size = ranking.pool_size(request.limit)
-        texts = index.files.select(F.lit(0).alias("kind"), "id", T.rerank_text(F.lit(0), F.col("path"), F.col("name"), F.col("body")).alias("text")).unionByName(index.dirs.select(F.lit(1).alias("kind"), "id", F.col("path").alias("text")))
+        head = fused.where(F.col("fused_rank") <= size)
+        texts = by_id(index.files, head, 0).select(F.lit(0).alias("kind"), "id", T.rerank_text(F.lit(0), F.col("path"), F.col("name"), F.col("body")).alias("text")).unionByName(by_id(index.dirs, head, 1).select(F.lit(1).alias("kind"), "id", F.col("path").alias("text")))
         pool = ranking.rerank_pool(fused, texts, request.text, reranker, size)
         head = ranking.select_quota(pool, request.limit, "pool_rank")
         chosen = ranking.with_tail(head, fused, size, request.limit).join(pool.select("kind", "id", "rerank"), ["kind", "id"], "left")
@@ -150,4 +164,4 @@ def search(index: Index, request: SearchRequest, reranker=None) -> DataFrame:
         .when(x.isNotNull(), F.format_string("by text (#%d)", x))
         .otherwise("contents of this directory")
     )
-    return _results(shown, index).select("position", "kind", "id", "path", "score", "cosine", "dense_rank", "lexical_rank", "rerank", "file_count", none("double").alias("topic_distance"), "snippet", explain.alias("explain"))
+    return _results(local(shown), index).select("position", "kind", "id", "path", "score", "cosine", "dense_rank", "lexical_rank", "rerank", "file_count", none("double").alias("topic_distance"), "snippet", explain.alias("explain"))
