@@ -507,3 +507,18 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, counted; then reachability by recursion.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT rid, s FROM (
+    SELECT rid, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) >= 5
+    UNION ALL SELECT rid, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+i AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM i JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b),
+c AS (SELECT a AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) JOIN c USING (rid)"""

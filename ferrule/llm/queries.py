@@ -30,6 +30,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": op1_quality_rules.oracle(),
+    "op6_jaccard_join": op6_jaccard_join.ORACLE,
     "op8_warc": op8_warc.ORACLE,
     "op9_exact_topk": op9_exact_topk.ORACLE,
 }
