@@ -79,7 +79,7 @@ def held_out(mod: int, remainder: int, col: str = "doc_id") -> Column:
     return (crc32_of_id(col) % F.lit(mod)) == F.lit(remainder)
 
 
-def byte_slices(batch: pa.RecordBatch, text_column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch, text_column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows with about `limit` bytes of text each (one row at least),
     so that what is held per slice is bounded by the limit or by the longest single text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_column)), 0).to_numpy(zero_copy_only=False)

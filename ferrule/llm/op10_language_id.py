@@ -145,7 +145,7 @@ def language_id(documents: DataFrame, model: dict) -> DataFrame:
     Defined results: `und` with score 0 for a null text, one without a letter, or when nothing
     was learned; equal shares go to the smaller language value; repeated rows are judged each;
     an empty table gives an empty table; other columns are not read.  Runs of texts of about
-    4 MB are held at a time, a longer text alone.
+    2 MB are held at a time, a longer text alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

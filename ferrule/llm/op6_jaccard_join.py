@@ -34,7 +34,7 @@ from .common import byte_slices, map_arrow, materialize, read_table, release, re
 
 WORDS, PERCENT = 5, 80
 GROUPS, NODE, FULL = 64, 32, 65_535
-RANGE_POSTINGS, BLOCK, SLICE = 2_000_000, 2048, 2 << 20
+RANGE_POSTINGS, BLOCK, SLICE = 2_000_000, 2048, 1 << 20
 #: All pairs are asked for once those left are at most this many per set, once a round links
 #: less than a hundredth of the sets, or after `ROUNDS`.
 PAIRS_PER_SET, ROUNDS = 8, 4
