@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,13 +49,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OWN = re.compile(r"(.*/ferrule-[a-z]+-[0-9a-f]{32})/[^/]*")
+
+
 def remove(df: DataFrame) -> None:
-    """Deletes the files of a table made by `materialize` once nothing reads it again."""
+    """Deletes the folder of a table made by `materialize` once nothing reads it again.  Only the
+    folder that holds the files, and only one with a name that `new_path` gives, is deleted."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    roots = {f[: f.index("/", f.index("/ferrule-") + 1)] for f in df.inputFiles() if "/ferrule-" in f}
-    for root in roots:
+    for root in {m[1] for f in df.inputFiles() if (m := _OWN.fullmatch(f))}:
         path = jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(conf).delete(path, True)
 

@@ -87,3 +87,13 @@ def test_empty_and_wordless(spark):
     assert mixed(spark, fx.empty(spark)).collect() == []
     rows = mixed(spark, fx.documents(spark, [(1, None, None, None), (2, "", "en", "a")])).collect()
     assert [(r.size, r.target, r.copies) for r in rows] == [(0, 0.0, 0)] * 2
+
+
+def test_removing_a_table_leaves_its_neighbours(spark, monkeypatch, tmp_path):
+    from ferrule.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}/ferrule-jobs")
+    one, two = common.materialize(spark.range(3), "one"), common.materialize(spark.range(4), "two")
+    common.remove(one)
+    common.remove(spark.range(2))
+    assert two.count() == 4 and len(list((tmp_path / "ferrule-jobs").iterdir())) == 1
