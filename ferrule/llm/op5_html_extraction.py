@@ -4,8 +4,8 @@ A page is a stream of tags and texts.  Tandem repeats in a stream fold into repe
 and the folded streams of a host are aligned one after the other: what only one side has
 becomes an optional group, texts become slots.  The result is a wrapper, a union-free regular
 expression over tags.  The wrapper shows which element holds the page's own text: going down
-from the body, the container that keeps nearly all text slots outside of menus, notices and
-the like.  Each page is then read within its host's content element.
+from the body, the deepest container that keeps all text slots outside of menus, notices and
+the like.  Each page is then read within its host's content element, or whole without one.
 
 Folded streams are few per host, however many pages it has, so they are counted by a plain
 aggregation; a wrapper sees the `FORMS` most frequent ones.  Extraction reads every page whole.
@@ -30,8 +30,6 @@ from .common import map_arrow, materialize, read_table
 FORMS = 8
 #: A table of hosts up to this many rows is broadcast; beyond, it is joined by shuffle.
 BROADCAST_HOSTS = 200_000
-#: Share of the text slots that the content element keeps.
-MOST = 0.9
 
 # Kinds of HTML elements, and names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -258,9 +256,9 @@ def align(wrapper: list[str], other: list[str]) -> list[str]:
 
 
 def content_key(wrapper: list[str]) -> str | None:
-    """Key of the element that keeps nearly all text slots outside of dropped elements.  A slot
-    in a repeated group counts for several.  None if the wrapper has no such element."""
-    total, path, weight, seen = 0.0, [], {}, {}
+    """Key of the deepest element that keeps all text slots outside of dropped elements; None
+    if the wrapper has no such element below the body."""
+    total, path, weight, seen = 0, [], {}, {}
     for t in wrapper:
         if t in ("(", ")?"):
             continue
@@ -282,7 +280,7 @@ def content_key(wrapper: list[str]) -> str | None:
             path.append((key, seen[key]))
     best = None
     for (key, number), w in weight.items():  # in page order: a later one lies deeper
-        if total and w >= MOST * total and key.split(" ")[0] in CONTAINERS and number == 1 and seen[key] == 1:
+        if w == total and key.split(" ")[0] in CONTAINERS and number == 1 and seen[key] == 1:
             best = key
     return best if best is not None and best.split(" ")[0] not in ("html", "body") else None
 
@@ -322,12 +320,10 @@ def infer_wrappers(pages: DataFrame, forms: int = FORMS) -> DataFrame:
 
 
 def extract_page(page: str, root: str | None) -> str:
-    """Main text of one page: within the host's content element, else within the page's own
-    article or main element, else all that is left when dropped elements go."""
-    for key in (root, "article", "main", "div role=main"):
-        if key is not None and (found := blocks(page, key)):
-            return "\n\n".join(found)
-    return "\n\n".join(blocks(page, None))
+    """Main text of one page: within the host's content element, else all that is left when
+    dropped elements go.  An article or main element is not taken alone: a headline beside it
+    is text as well."""
+    return "\n\n".join((root is not None and blocks(page, root)) or blocks(page, None))
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:

@@ -68,3 +68,11 @@ def test_wrapper_folds_repeats_and_marks_options():
 def test_content_element_is_the_deepest_container():
     s = op.skeleton('<body><nav>m</nav><div class="page"><div class="story"><p>1</p><h2>2</h2><p>3</p></div></div><footer>f</footer></body>')
     assert op.infer([s])[1] == "div class=story"
+
+
+def test_headline_beside_the_body_stays(spark):
+    body = "".join(f"<h2>s{k}</h2><p>p{k}</p>" for k in range(5))
+    inner = f'<h1>Headline</h1><div class="content">{body}</div>'
+    want = "\n\n".join(["Headline", *(f"{c}{k}" for k in range(5) for c in "sp")])
+    got = run(spark, [(1, "http://a.org/1", f'<body><div class="page">{inner}</div></body>'), (2, "http://b.org/2", f"<body>{inner}</body>"), (3, "http://c.org/3", f"<body><h1>Headline</h1><article>{body}</article></body>")])
+    assert {i: r.text for i, r in got.items()} == dict.fromkeys((1, 2, 3), want)
