@@ -7,6 +7,11 @@ expression over tags.  The wrapper shows which element holds the page's own text
 from the body, the deepest container that keeps all text slots outside of menus, notices and
 the like.  Each page is then read within its host's content element, or whole without one.
 
+Texts become slots only where the pages of a host differ: a text that stands at the same place
+(the path of block tags) on all pages of a host that have text belongs to the wrapper and is
+left out of each.  What all pages share is an intersection, so it is exact over all pages, and
+what is shuffled is one row a task and host.
+
 Folded streams are few per host, however many pages it has, so they are counted by a plain
 aggregation; a wrapper sees the `FORMS` most frequent ones.  Extraction reads every page whole.
 """
@@ -15,8 +20,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +37,8 @@ from .common import map_arrow, materialize, read_table
 FORMS = 8
 #: A table of hosts up to this many rows is broadcast; beyond, it is joined by shuffle.
 BROADCAST_HOSTS = 200_000
+#: Hosts whose shared texts a task holds before it hands them on.
+HELD_HOSTS = 10_000
 
 # Kinds of HTML elements, and names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -135,18 +144,20 @@ def elements(page: str) -> Iterator[tuple[str, str, str, tuple]]:
     yield from close(0)
 
 
-def blocks(page: str, root: str | None) -> list[str]:
-    """Blocks of text inside the elements with the root key (all of the page, if it is None):
-    references decoded, white space single, dropped elements left out."""
-    found: list[str] = []
+def placed_blocks(page: str, root: str | None) -> list[tuple[str, str]]:
+    """Blocks of text inside the elements with the root key (all of the page, if it is None),
+    each after its place, the path of open block tags: references decoded, white space single,
+    dropped elements left out."""
+    found: list[tuple[str, str]] = []
     held: list[str] = []
+    path: list[str] = []
     depth_root, depth_drop = (1 if root is None else 0), 0
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            found.append(text)
+            found.append(("/".join(path), text))
 
     for event, tag, key, value in elements(page):
         if event == "text":
@@ -163,15 +174,53 @@ def blocks(page: str, root: str | None) -> list[str]:
                     flush()
                 depth_drop += out and tag not in VOID
             depth_root += root is not None and key == root
+            if tag not in INLINE and tag not in VOID:
+                path.append(tag)
         else:
             if depth_root and not depth_drop and tag not in INLINE:
                 flush()
             depth_drop -= tag not in VOID and dropped(tag, key.partition(" ")[2])
             depth_root -= root is not None and key == root
+            if tag not in INLINE and tag not in VOID:
+                path.pop()
     flush()
     return found
 
 
+def mark(place: str, text: str) -> int:
+    """64 bits that stand for a text at a place."""
+    return int.from_bytes(blake2b(f"{place}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Shared:
+    """What the pages of a host seen so far share: the marks on all of them (as often as on each),
+    the most texts of a page, and up to three different contents.  Pages without text do not
+    count.  Merging is an intersection, a maximum and a union, so the order does not matter."""
+
+    def __init__(self, marks: list[int], most: int, versions: list[int]):
+        self.marks, self.most, self.versions = Counter(marks), most, set(versions)
+
+    @classmethod
+    def of(cls, page: str) -> Shared | None:
+        marks = [mark(*b) for b in placed_blocks(page, None)]
+        return cls(marks, len(marks), [mark("", " ".join(map(str, marks)))]) if marks else None
+
+    def merge(self, other: Shared) -> None:
+        self.marks &= other.marks
+        self.most = max(self.most, other.most)
+        self.versions = set(sorted(self.versions | other.versions)[:3])
+
+    def constants(self) -> list[int]:
+        """Marks of the wrapper's own texts.  Copies of one page tell nothing; two contents that
+        share more than half of the texts may be versions of one article, and tell nothing either."""
+        n = len(self.versions)
+        if n < 2 or (n == 2 and 2 * self.marks.total() > self.most):
+            return []
+        return sorted(self.marks.elements())
+
+
+
+
 def fold(tokens: list[str]) -> list[str]:
     """Tandem repeats of whole elements become one element with a trailing plus: a group that
     may repeat.  Shorter groups fold first."""
@@ -302,8 +351,42 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
 
 
+def shared_texts(pages: DataFrame) -> DataFrame:
+    """host, constants: marks of the texts that all pages of a host share, from every page."""
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Shared] = {}
+
+        def rows() -> pa.RecordBatch:
+            columns = [list(held), [sorted(s.marks.elements()) for s in held.values()], [s.most for s in held.values()], [sorted(s.versions) for s in held.values()]]
+            types = [pa.string(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "marks", "most", "versions"])
+
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (own := Shared.of(page)) is None:
+                    continue
+                if host in held:
+                    held[host].merge(own)
+                else:
+                    held[host] = own
+                if len(held) >= HELD_HOSTS:
+                    yield rows()
+                    held.clear()
+        yield rows()
+
+    def per_host(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [Shared(*p) for p in zip(frame["marks"], frame["most"], frame["versions"], strict=True)]
+        for other in parts[1:]:
+            parts[0].merge(other)
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "constants": [parts[0].constants()]})
+
+    parts = map_arrow(pages.select("host", "html"), per_task, "host string, marks array<long>, most long, versions array<long>")
+    return parts.groupBy("host").applyInPandas(per_host, "host string, constants array<long>")
+
+
 def infer_wrappers(pages: DataFrame, forms: int = FORMS) -> DataFrame:
-    """host, wrapper, root: one row per host of `with_host` rows."""
+    """host, wrapper, root, constants: one row per host of `with_host` rows."""
 
     def fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,14 +399,23 @@ def infer_wrappers(pages: DataFrame, forms: int = FORMS) -> DataFrame:
 
     counted = map_arrow(pages.select("host", "html"), fold_pages, "host string, form string").groupBy("host", "form").agg(F.count(F.lit(1)).alias("n"))
     best = counted.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.col("n").desc(), "form"))).where(F.col("r") <= forms)
-    return best.drop("r").groupBy("host").applyInPandas(per_host, "host string, wrapper string, root string")
+    wrappers = best.drop("r").groupBy("host").applyInPandas(per_host, "host string, wrapper string, root string")
+    return wrappers.join(shared_texts(pages), "host", "left")
 
 
-def extract_page(page: str, root: str | None) -> str:
+def extract_page(page: str, root: str | None, constants: list[int] | None = None) -> str:
     """Main text of one page: within the host's content element, else all that is left when
     dropped elements go.  An article or main element is not taken alone: a headline beside it
-    is text as well."""
-    return "\n\n".join((root is not None and blocks(page, root)) or blocks(page, None))
+    is text as well.  The wrapper's own texts are left out."""
+    found = (root is not None and placed_blocks(page, root)) or placed_blocks(page, None)
+    left = Counter(constants or ())
+    texts = []
+    for place, text in found:
+        if left and left[m := mark(place, text)] > 0:
+            left[m] -= 1
+        else:
+            texts.append(text)
+    return "\n\n".join(texts)
 
 
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -337,13 +429,13 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract_page(h, r) for h, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract_page(*p) for p in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     ship(pages.sparkSession)
-    hosts = wrappers.where(F.col("root").isNotNull()).select("host", "root")
+    hosts = wrappers.where(F.col("root").isNotNull() | (F.size("constants") > 0)).select("host", "root", "constants")
     side = F.broadcast(hosts) if wrappers.count() <= BROADCAST_HOSTS else hosts
-    return map_arrow(pages.join(side, "host", "left").select("page_id", "url", "html", "root"), run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(pages.join(side, "host", "left").select("page_id", "url", "html", "root", "constants"), run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

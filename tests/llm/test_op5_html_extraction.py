@@ -76,3 +76,17 @@ def test_headline_beside_the_body_stays(spark):
     want = "\n\n".join(["Headline", *(f"{c}{k}" for k in range(5) for c in "sp")])
     got = run(spark, [(1, "http://a.org/1", f'<body><div class="page">{inner}</div></body>'), (2, "http://b.org/2", f"<body>{inner}</body>"), (3, "http://c.org/3", f"<body><h1>Headline</h1><article>{body}</article></body>")])
     assert {i: r.text for i, r in got.items()} == dict.fromkeys((1, 2, 3), want)
+
+
+def test_texts_equal_on_all_pages_of_a_host_go(spark):
+    page = '<body><div class="page"><p>Read us daily</p><h1>T{0}</h1><p>one {0}</p><div class="box7">Join our list</div><p>two {0}</p><p>kept {1}</p></div></body>'
+    many = [(i, f"http://a.org/{i}", page.format(i, i % 2)) for i in range(6)]
+    got = run(spark, [*many, (6, "http://a.org/empty", ""), (7, "http://b.org/7", page.format(7, 1)), (8, "http://b.org/8", page.format(7, 1))])
+    assert [got[i].text for i in range(6)] == ["\n\n".join([f"T{i}", f"one {i}", f"two {i}", f"kept {i % 2}"]) for i in range(6)]
+    assert got[6].text == "" and got[7].text == got[8].text and "Join our list" in got[7].text  # copies tell nothing
+
+
+def test_two_versions_of_an_article_keep_their_texts(spark):
+    page = "<body><h1>T</h1><p>a</p><p>b</p><p>c {0}</p></body>"
+    got = run(spark, [(i, "http://a.org/", page.format(i)) for i in range(2)])
+    assert got[1].text == "T\n\na\n\nb\n\nc 1"
