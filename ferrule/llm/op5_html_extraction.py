@@ -1,19 +1,15 @@
 """Main text of web pages by wrapper inference: union-free regular expressions per host.
 
-A page is a stream of tags and texts.  Tandem repeats in a stream fold into repeated groups,
-and the folded streams of a host are aligned one after the other: what only one side has
-becomes an optional group, texts become slots.  The result is a wrapper, a union-free regular
-expression over tags.  The wrapper shows which element holds the page's own text: going down
-from the body, the deepest container that keeps all text slots outside of menus, notices and
-the like.  Each page is then read within its host's content element, or whole without one.
-
-Texts become slots only where the pages of a host differ: a text that stands at the same place
-(the path of block tags) on all pages of a host that have text belongs to the wrapper and is
-left out of each.  What all pages share is an intersection, so it is exact over all pages, and
-what is shuffled is one row a task and host.
-
-Folded streams are few per host, however many pages it has, so they are counted by a plain
-aggregation; a wrapper sees the `FORMS` most frequent ones.  Extraction reads every page whole.
+A page is a stream of tags and texts.  Texts become slots where the pages of a host differ: a
+text that stands at the same place (the path of block tags) on all pages of a host that have
+text belongs to the wrapper and is left out of each.  What all pages share is an intersection,
+so it is exact over every page of a host, whatever forms its pages have; one row a task and
+host is shuffled.  A page is read whole: its text is all that stands outside of menus, notices
+and the like and is not the wrapper's own.
+
+`infer` gives the wrapper of some pages in writing: tandem repeats fold into repeated groups,
+and folded streams are aligned one after the other, where what only one side has becomes an
+optional group.  Reading does not depend on it, since a slot counts in any group.
 """
 
 from __future__ import annotations
@@ -27,14 +23,12 @@ from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import map_arrow, materialize, read_table
 
-#: Folded streams per host that a wrapper is inferred from (a bound of fitting).
-FORMS = 8
 #: A table of hosts up to this many rows is broadcast; beyond, it is joined by shuffle.
 BROADCAST_HOSTS = 200_000
 #: Hosts whose shared texts a task holds before it hands them on.
@@ -144,14 +138,13 @@ def elements(page: str) -> Iterator[tuple[str, str, str, tuple]]:
     yield from close(0)
 
 
-def placed_blocks(page: str, root: str | None) -> list[tuple[str, str]]:
-    """Blocks of text inside the elements with the root key (all of the page, if it is None),
-    each after its place, the path of open block tags: references decoded, white space single,
-    dropped elements left out."""
+def placed_blocks(page: str) -> list[tuple[str, str]]:
+    """Blocks of text of a page, each after its place, the path of open block tags: references
+    decoded, white space single, dropped elements left out."""
     found: list[tuple[str, str]] = []
     held: list[str] = []
     path: list[str] = []
-    depth_root, depth_drop = (1 if root is None else 0), 0
+    depth_drop = 0
 
     def flush() -> None:
         text = " ".join("".join(held).split())
@@ -161,7 +154,7 @@ def placed_blocks(page: str, root: str | None) -> list[tuple[str, str]]:
 
     for event, tag, key, value in elements(page):
         if event == "text":
-            if depth_root and not depth_drop:
+            if not depth_drop:
                 held.append(entities.unescape(value))
             continue
         if tag == "br":
@@ -170,17 +163,15 @@ def placed_blocks(page: str, root: str | None) -> list[tuple[str, str]]:
         if event == "open":
             out = dropped(tag, value)
             if tag not in INLINE or (out and tag not in VOID):
-                if depth_root and not depth_drop and tag not in INLINE:
+                if not depth_drop and tag not in INLINE:
                     flush()
                 depth_drop += out and tag not in VOID
-            depth_root += root is not None and key == root
             if tag not in INLINE and tag not in VOID:
                 path.append(tag)
         else:
-            if depth_root and not depth_drop and tag not in INLINE:
+            if not depth_drop and tag not in INLINE:
                 flush()
             depth_drop -= tag not in VOID and dropped(tag, key.partition(" ")[2])
-            depth_root -= root is not None and key == root
             if tag not in INLINE and tag not in VOID:
                 path.pop()
     flush()
@@ -202,7 +193,7 @@ class Shared:
 
     @classmethod
     def of(cls, page: str) -> Shared | None:
-        marks = [mark(*b) for b in placed_blocks(page, None)]
+        marks = [mark(*b) for b in placed_blocks(page)]
         return cls(marks, len(marks), [mark("", " ".join(map(str, marks)))]) if marks else None
 
     def merge(self, other: Shared) -> None:
@@ -266,7 +257,7 @@ def skeleton(page: str) -> list[str]:
         elif event == "open":
             out = dropped(tag, value)
             if not drop:
-                tokens.append(f"<{key[:80]}>")
+                tokens.append(f"<{key}>")
             drop += out
         else:
             drop -= dropped(tag, key.partition(" ")[2])
@@ -351,8 +342,9 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
 
 
-def shared_texts(pages: DataFrame) -> DataFrame:
-    """host, constants: marks of the texts that all pages of a host share, from every page."""
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """host, constants: the wrapper's own texts as marks, one row per host of `with_host` rows
+    that has texts, from every page."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Shared] = {}
@@ -385,32 +377,12 @@ def shared_texts(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInPandas(per_host, "host string, constants array<long>")
 
 
-def infer_wrappers(pages: DataFrame, forms: int = FORMS) -> DataFrame:
-    """host, wrapper, root, constants: one row per host of `with_host` rows."""
-
-    def fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["\n".join(skeleton(h)) for h in batch.column(1).to_pylist()], pa.string())], names=["host", "form"])
-
-    def per_host(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values(["n", "form"], ascending=[False, True])
-        wrapper, root = infer([f.split("\n") for f in ordered["form"]])
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [wrapper], "root": [root]})
-
-    counted = map_arrow(pages.select("host", "html"), fold_pages, "host string, form string").groupBy("host", "form").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy(F.col("n").desc(), "form"))).where(F.col("r") <= forms)
-    wrappers = best.drop("r").groupBy("host").applyInPandas(per_host, "host string, wrapper string, root string")
-    return wrappers.join(shared_texts(pages), "host", "left")
-
-
-def extract_page(page: str, root: str | None, constants: list[int] | None = None) -> str:
-    """Main text of one page: within the host's content element, else all that is left when
-    dropped elements go.  An article or main element is not taken alone: a headline beside it
-    is text as well.  The wrapper's own texts are left out."""
-    found = (root is not None and placed_blocks(page, root)) or placed_blocks(page, None)
+def extract_page(page: str, constants: list[int] | None = None) -> str:
+    """Main text of one page: all that is left when dropped elements and the wrapper's own texts
+    go.  An article or main element is not taken alone: a headline beside it is text as well."""
     left = Counter(constants or ())
     texts = []
-    for place, text in found:
+    for place, text in placed_blocks(page):
         if left and left[m := mark(place, text)] > 0:
             left[m] -= 1
         else:
@@ -429,13 +401,13 @@ def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract_page(*p) for p in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            texts = [extract_page(*p) for p in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     ship(pages.sparkSession)
-    hosts = wrappers.where(F.col("root").isNotNull() | (F.size("constants") > 0)).select("host", "root", "constants")
-    side = F.broadcast(hosts) if wrappers.count() <= BROADCAST_HOSTS else hosts
-    return map_arrow(pages.join(side, "host", "left").select("page_id", "url", "html", "root", "constants"), run, "page_id long, url string, text string, n_chars long")
+    hosts = wrappers.where(F.size("constants") > 0).select("host", "constants")
+    side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    return map_arrow(pages.join(side, "host", "left").select("page_id", "url", "html", "constants"), run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

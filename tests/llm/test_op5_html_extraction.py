@@ -90,3 +90,16 @@ def test_two_versions_of_an_article_keep_their_texts(spark):
     page = "<body><h1>T</h1><p>a</p><p>b</p><p>c {0}</p></body>"
     got = run(spark, [(i, "http://a.org/", page.format(i)) for i in range(2)])
     assert got[1].text == "T\n\na\n\nb\n\nc 1"
+
+
+def test_rarer_layouts_are_read_whole(spark):
+    common = [(i, f"http://a.org/{i}", f'<body><div class="story">{"".join(f"<{t}>{t} {i}</{t}>" for t in tags)}</div></body>') for i, tags in enumerate(f"{a} {b} {c}".split() for a in ("h2", "p", "h3") for b in ("p", "h4") for c in ("pre", "h5", "p"))]
+    rare = '<body><div class="story"><p>teaser</p></div><section><h1>Rare</h1><p>its own text</p></section></body>'
+    long = f'<body><div class="{"x" * 90} story"><p>long key</p></div></body>'
+    got = run(spark, [*common * 2, (99, "http://a.org/99", rare), (98, "http://a.org/98", long)])
+    assert got[99].text == "teaser\n\nRare\n\nits own text" and got[98].text == "long key"
+
+
+def test_no_key_is_cut():
+    a, b = (f'<body><div class="{"x" * 90} {k}"><p>t</p></div></body>' for k in "ab")
+    assert op.skeleton(a) != op.skeleton(b)
