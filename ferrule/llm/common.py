@@ -108,10 +108,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
     """A bounded, reproducible sample of labelled texts outside the held-out fold, as
     (doc_id, text, label) rows, and the share of label 1 among all labelled ids of the fold.
 
-    At most `per_class` ids of each label value, those of smallest xxhash64(id), and at most
-    `max_chars` characters of each text reach the driver; this bounds what *fitting* sees and
-    nothing else.  Null ids, labels and texts are left out, an id with contradicting labels
-    too, and an id that occurs in several rows gives its smallest text.
+    At most `per_class` ids of each label value, those of smallest xxhash64(id), reach the driver
+    with their whole texts, as far as `per_class * max_chars` characters of the value go (one
+    text at least); this bounds what *fitting* sees and nothing else.  Null ids, labels and texts
+    are left out, an id with contradicting labels too, and an id that occurs in several rows
+    gives its smallest text.
     """
     votes = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -130,14 +131,20 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
     if not ids:
         return [], 0.5
     wanted = F.broadcast(documents.sparkSession.createDataFrame(ids, "doc_id long, y int"))
-    rows = (
-        documents.select(F.col("doc_id"), F.substring(F.col("text"), 1, max_chars).alias("text"))
-        .where(F.col("text").isNotNull())
-        .join(wanted, "doc_id")
-        .groupBy("doc_id")
-        .agg(F.min("text").alias("text"), F.first("y").alias("y"))
-        .collect()
-    )
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    # lengths first: where the bound is met whole rows are left out, so that no text is cut
+    held = materialize(texts, "sample")
+    sizes = {r.doc_id: r.n for r in held.select("doc_id", F.char_length("text").alias("n")).collect()}
+    taken = []
+    for y in sorted(totals):
+        room = per_class * max_chars
+        for i in (i for i, v in ids if v == y and i in sizes):
+            if sizes[i] > room and room < per_class * max_chars:
+                break
+            room -= sizes[i]
+            taken.append(i)
+    rows = held.where(F.col("doc_id").isin(taken)).collect() if len(taken) < len(sizes) else held.collect()
+    remove(held)
     return sorted(((r.doc_id, r.text, r.y) for r in rows), key=lambda r: r[0]), totals.get(1, 0) / sum(totals.values())
 
 

@@ -24,7 +24,7 @@ from .fitting import fit_logistic, predict_logistic
 BLOCK = 1024
 DICTIONARY = 48 << 10
 LEVEL = 1
-#: Bounds of what fitting sees: ids per class, and characters of each of their texts.
+#: Bounds of what fitting sees: ids per class, and characters per id on average; texts are whole.
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 THRESHOLD = 0.7
 

@@ -47,7 +47,7 @@ _DIGIT = re.compile("[0-9]")
 _OTHER = re.compile(r"[\W_]+")
 _FOLDED = frozenset(map(chr, _FOLD))
 _BLANKED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-#: Bounds of what fitting sees: ids per class, and characters of each of their texts.
+#: Bounds of what fitting sees: ids per class, and characters per id on average; texts are whole.
 SAMPLE, SAMPLE_CHARS = 1500, 8_000
 THRESHOLD = 0.5
 LONGEST = 12

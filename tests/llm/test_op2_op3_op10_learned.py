@@ -8,6 +8,7 @@ from fixtures_path import fx
 from ferrule.llm import op2_quality_classifier as quality
 from ferrule.llm import op3_toxicity as toxicity
 from ferrule.llm import op10_language_id as language
+from ferrule.llm.common import labelled_sample
 
 BIG = "/root/testdata/sf0.01"
 
@@ -98,3 +99,17 @@ def test_mixture_finds_both_languages(models):
     de = "nicht der die und das ist ein eine zu von mit sich auf " * 2
     _, _, sets = language.identify(pa.array([en + de, en]), models[2])
     assert sets == ["en,de", "en"]
+
+
+def test_fitting_sees_whole_texts(spark):
+    filler = " ".join(f"plain{k % 97}" for k in range(4000))
+    rows = [(i, filler + (" grobian grobian" if i % 2 else " gentle gentle") + f" n{i}", "en", "a") for i in range(120)]
+    df, marked = fx.documents(spark, rows), fx.labels(spark, [(i, 1 - i % 2, i % 2) for i in range(120)])
+    sample, _ = labelled_sample(df, marked, "toxic", 5, 0, 1500, 8000)
+    assert sample and all(t == rows[i][1] for i, t, _ in sample)
+    assert any(p.startswith(" grob") for p in toxicity.fit(df, marked)["lexicon"])
+    # the bound leaves whole rows out: 40 ids a class, room for three texts of 31 kB
+    few, share = labelled_sample(df, marked, "toxic", 5, 0, 40, 2500)
+    assert sorted(y for *_, y in few) == [0] * 3 + [1] * 3 and all(t == rows[i][1] for i, t, _ in few) and 0 < share < 1
+    one, _ = labelled_sample(df, marked, "toxic", 5, 0, 40, 1)
+    assert sorted(y for *_, y in one) == [0, 1]
