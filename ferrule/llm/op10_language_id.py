@@ -2,8 +2,9 @@
 
 A text is a mixture of languages: each word comes from one of them, with a likelihood given by
 the character n-grams of the language.  Expectation-maximisation estimates the proportions per
-document; among the sets of its one, two, ... most probable languages the one with the largest
-penalised likelihood is kept, and the language with the largest proportion in it is reported.
+document; among the sets of its one, two, ... most probable languages, up to all, the one with
+the largest penalised likelihood is kept (a document leaves the search when an upper bound of
+the likelihood shows that no larger set can win), and the language with the largest proportion in it is reported.
 
 Everything runs over arrays: bytes, then words, then (word x language) for a run of texts.
 """
@@ -109,19 +110,26 @@ def identify(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray, list
     docs, first = np.unique(doc_of, return_index=True)
     doc = np.searchsorted(docs, doc_of)
     n_words = np.diff(np.append(first, len(doc)))
-    pi, _ = _mixture(like, doc, first, np.ones((len(docs), len(langs))), STEPS)
+    pi, ll = _mixture(like, doc, first, np.ones((len(docs), len(langs))), STEPS)
+    # no mixture's log likelihood is above 0 (the best language of a word counts as 1), nor above
+    # this one's by more than n log(largest mean ratio of a language to the mixture)
+    ratio = np.add.reduceat(like / (like * pi[doc]).sum(1, keepdims=True), first, axis=0).max(1) / n_words
+    most = np.minimum(ll + n_words * np.log(ratio), 0.0) + 1e-6
+    cost = PENALTY * np.log(n_words + 1)
     order = np.argsort(-pi, axis=1, kind="stable")
-    chosen, value = None, None
-    for k in range(1, min(3, len(langs)) + 1):
-        allowed = np.zeros_like(pi)
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        p, ll = _mixture(like, doc, first, allowed, 0 if k == 1 else 4)
-        v = ll - PENALTY * (k - 1) * np.log(n_words + 1)
-        if chosen is None:
-            chosen, value = p, v
-        else:
-            better = v > value
-            chosen[better], value[better] = p[better], v[better]
+    chosen, value = np.zeros_like(pi), np.full(len(docs), -np.inf)
+    for k in range(1, len(langs) + 1):
+        still = np.flatnonzero(most - (k - 1) * cost > value)
+        if not len(still):
+            break
+        words = np.isin(doc, still)
+        allowed = np.zeros((len(still), len(langs)))
+        np.put_along_axis(allowed, order[still, :k], 1.0, axis=1)
+        begin = np.cumsum(n_words[still]) - n_words[still]
+        p, ll = _mixture(like[words], np.repeat(np.arange(len(still)), n_words[still]), begin, allowed, 0 if k == 1 else 4)
+        v = ll - (k - 1) * cost[still]
+        better = v > value[still]
+        chosen[still[better]], value[still[better]] = p[better], v[better]
     top = chosen.argmax(1)
     best[docs], score[docs] = top, chosen[np.arange(len(docs)), top]
     names = np.array(langs, object)

@@ -113,3 +113,16 @@ def test_fitting_sees_whole_texts(spark):
     assert sorted(y for *_, y in few) == [0] * 3 + [1] * 3 and all(t == rows[i][1] for i, t, _ in few) and 0 < share < 1
     one, _ = labelled_sample(df, marked, "toxic", 5, 0, 40, 1)
     assert sorted(y for *_, y in one) == [0, 1]
+
+
+def test_mixture_finds_four_languages(spark, models):
+    import pyarrow as pa
+
+    known: dict[str, list[str]] = {}
+    for r in spark.read.parquet(f"{BIG}/documents.parquet").orderBy("doc_id").collect():
+        if len(words := [w for w in r.text.split() if w.isalpha()]) >= 80:
+            known.setdefault(r.lang, words[:80])
+    text = " ".join(" ".join(known[lang]) for lang in ("de", "en", "es", "fr"))
+    _, score, sets = language.identify(pa.array([known_text := " ".join(known["en"]), text, "", known_text]), models[2])
+    assert sets[0] == sets[3] == "en" and set(sets[1].split(",")) == {"de", "en", "es", "fr"}
+    assert score[1] < 0.4
