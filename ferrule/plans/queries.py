@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import BM25_FILE_WEIGHTS, DIACRITICS, FORMAT_WORDS, LABEL_STOPWORDS, MEDIA_EXTENSIONS, OFFICE_EXTENSIONS, PLAIN_LETTERS, SOURCE_EXTENSIONS
+from ..fixed_values import BM25_FILE_WEIGHTS, CHARS_PER_TOKEN, DIACRITICS, FORMAT_WORDS, LABEL_STOPWORDS, MEDIA_EXTENSIONS, OFFICE_EXTENSIONS, PLAIN_LETTERS, PROFILE_TOKENS, SOURCE_EXTENSIONS
 from ..functions import models
 from ..functions import text as T
 from ..functions import vectors as V
@@ -776,8 +776,8 @@ def roots_without_nesting(spark, d):
 @query("embed_files")
 def embed_files(spark, d):
     rel = T.relative_path(F.col("path"), F.lit(corpus.ROOT))
-    rows = corpus.files(spark, d).select("id", T.embed_text(rel, T.name_tokens(rel), T.normalize_ws(F.col("body"), 256)).alias("text"))
-    return models.embed(rows, models.EMBEDDERS["hashing-64"], "id", "text").select("id", F.round(V.norm(F.col("vector")), 9).alias("norm"))
+    rows = corpus.files(spark, d).select("id", T.embed_text(rel, T.name_tokens(rel), T.normalize_ws(F.col("body"), PROFILE_TOKENS["content"] * CHARS_PER_TOKEN)).alias("text"))
+    return models.embed(rows, models.EMBEDDERS["hashing-64"], "id", "text").select("id", F.round(V.norm(F.col("vector")), 9).alias("norm"), "vector")
 
 
 @query("hybrid_search_reranked")

@@ -144,3 +144,19 @@ def test_percentiles_are_nearest_rank(spark):
 def test_stale_notes():
     assert topics.stale_note(False, 0, False) and topics.stale_note(True, 3, False) and topics.stale_note(True, 0, True)
     assert topics.stale_note(True, 0, False) is None
+
+
+def test_embed_files_reads_the_content_budget(spark):
+    from ferrule.functions import models
+    from ferrule.functions import text as T
+    from ferrule.plans import queries
+    from ferrule.sources import corpus
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.id: list(r.vector) for r in queries.QUERIES["embed_files"](spark, sf).collect()}
+    rel = T.relative_path(F.col("path"), F.lit(corpus.ROOT))
+    rows = corpus.files(spark, sf).select("id", "body", T.embed_text(rel, T.name_tokens(rel), T.normalize_ws(F.col("body"), 1024)).alias("text")).collect()
+    assert any(len(r.body) > 256 for r in rows)
+    want = models.EMBEDDERS["hashing-64"].embed_docs([r.text for r in rows])
+    assert all(abs(a - b) < 1e-9 for r, w in zip(rows, want, strict=True) for a, b in zip(got[r.id], w, strict=True))
