@@ -118,6 +118,11 @@ def set_id(hashes: np.ndarray) -> int:
     return int(np.add.reduce(mixed(hashes ^ _P), dtype=_U).view(np.int64)) if len(hashes) else 0
 
 
+def spans(cut: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Start and end of the runs that begin at `cut` in an array of n; none of an empty one."""
+    return zip(cut.tolist(), [*cut[1:].tolist(), n], strict=True) if n else zip((), (), strict=True)
+
+
 def least_overlap(n, percent: int = PERCENT):
     """Shingles that a set of n must share with any partner."""
     return -(-percent * n // 100)
@@ -159,7 +164,7 @@ def postings(documents: DataFrame, buckets: int) -> DataFrame:
                 h, owner, bucket = h[order], owner[order], bucket[order]
                 used, cut = np.unique(bucket, return_index=True)
                 rows: list = [[], [], [], [], []]
-                for b, a, z in zip(used, cut, np.append(cut[1:], len(h)), strict=True):
+                for b, (a, z) in zip(used, spans(cut, len(h)), strict=True):
                     who, counts = np.unique(owner[a:z], return_counts=True)
                     for column, v in zip(rows, (int(b), sids[who].tobytes(), sizes[who].tobytes(), counts.astype(np.int64).tobytes(), pack(h[a:z])), strict=True):
                         column.append(v)
@@ -201,7 +206,7 @@ def shared_postings(blobs: DataFrame, parts: int) -> DataFrame:
         h, sid, owner, df, part = h[order], sid[order], owner[order], df[order], part[order]
         used, cut = np.unique(part, return_index=True)
         rows: list = [[], [], [], [], [], [], []]
-        for p, i, j in zip(used, cut, np.append(cut[1:], len(h)), strict=True):
+        for p, (i, j) in zip(used, spans(cut, len(h)), strict=True):
             who, first, k = np.unique(sid[i:j], return_index=True, return_counts=True)
             for column, v in zip(rows, (int(p), bucket, who.tobytes(), sizes[owner[i:j][first]].tobytes(), k.astype(np.int64).tobytes(), pack(h[i:j]), df[i:j].tobytes()), strict=True):
                 column.append(v)
@@ -235,7 +240,7 @@ def prefixes(shared: DataFrame) -> DataFrame:
         h, sid, size = h[order], sid[order], size[order]
         used, cut = np.unique(sid, return_index=True)
         rows: list = [[], [], [], [], []]
-        for i, j in zip(cut, np.append(cut[1:], len(h)), strict=True):
+        for i, j in spans(cut, len(h)):
             n = int(size[i])
             # n - t + 1 rarest shingles, of which those no other set holds come first
             length = n - least_overlap(n) + 1 - (n - (j - i))

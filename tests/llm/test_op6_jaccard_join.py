@@ -54,6 +54,14 @@ def test_empty_table(spark):
     assert got(fx.empty(spark)) == []
 
 
+@pytest.mark.parametrize("texts", [["just one text of a few more words than five"], ["one two three four five six", "seven eight nine ten eleven twelve", "a"], ["", None], ["only"] * 3])
+def test_tables_without_a_shared_shingle(spark, texts):
+    rows = list(enumerate(texts))
+    df = fx.documents(spark, [(i, t, "en", "a") for i, t in rows])
+    assert got(df) == brute(rows)
+    assert op.deduplicate(df).count() == len({c for _, _, c in brute(rows)})
+
+
 @pytest.mark.parametrize("block", [None, 16])
 def test_clusters_around_the_threshold(spark, monkeypatch, block):
     if block:
