@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import math
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,9 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (`spark.checkpoint.dir`); a local one only where that is unset."""
+    """The folder all executors share (`spark.checkpoint.dir`).  Where it is unset, a session of one
+    machine gets a local one; on a cluster that would lose data, so it is an error there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="ferrule-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -45,10 +47,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     to infer it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark delete the shuffle files of a query as soon as it has ended: what it wrote needs
+    them no more."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 _OWN = re.compile(r"(.*/ferrule-[a-z]+-[0-9a-f]{32})/[^/]*")
 
 
@@ -63,13 +81,6 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished plans now: its cleaner acts when the
-    driver collects its garbage, which on an idle driver can be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -97,11 +108,15 @@ def byte_slices(batch: pa.RecordBatch, text_column: str, limit: int = 2 << 20) -
         yield batch.slice(start)
 
 
-def sigmoid(x: float) -> float:
-    if x >= 0:
-        return 1.0 / (1.0 + math.exp(-x))
-    e = math.exp(x)
-    return e / (1.0 + e)
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Names that none of the columns has, whatever their case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: int, remainder: int, per_class: int, max_chars: int) -> tuple[list, float]:

@@ -2,7 +2,9 @@
 
 1. Texts become sets of hashed word shingles; equal sets collapse to one set id.
 2. Shingles meet by hash range, packed into one binary row per range and run of texts, which
-   gives every shingle's exact number of sets.  Only shared shingles go on.
+   gives every shingle's exact number of sets.  Only shared shingles go on.  Those that a share
+   of all texts holds are found beforehand by frequency summaries of the tasks; they count as the
+   most frequent of all and go straight to their sets, so that no task gathers such a shingle.
 3. A set that must share t of its n shingles with any partner holds, among its n - t + 1 rarest
    ones, one that the partner holds too (prefix filter, rarest first).  Sets with more private
    shingles than n - t have no partner and stop here.
@@ -25,16 +27,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..shipping import ship
-from .common import byte_slices, map_arrow, materialize, read_table, release, remove, shuffle_parts
+from .common import byte_slices, free_names, map_arrow, materialize, read_table, remove, shuffle_parts
 
 WORDS, PERCENT = 5, 80
 GROUPS, NODE, FULL = 64, 32, 65_535
 RANGE_POSTINGS, BLOCK, SLICE = 2_000_000, 2048, 1 << 20
+#: Entries of a task's frequency summary, shingles counted between two prunings, and the share of
+#: all texts from which a shingle is frequent.  At most `FREQUENT_LIST` of them, eight bytes each,
+#: go out with the tasks; any others pass through their hash ranges like rare ones.
+SUMMARY, COUNTED, FREQUENT_SHARE, FREQUENT_LIST = 1 << 18, 1 << 20, 1 / 512, 1 << 18
 #: All pairs are asked for once those left are at most this many per set, once a round links
 #: less than a hundredth of the sets, or after `ROUNDS`.
 PAIRS_PER_SET, ROUNDS = 8, 4
@@ -107,11 +113,11 @@ def pack(hashes: np.ndarray) -> bytes:
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def unpack(data: bytes, bucket: int) -> np.ndarray:
+def unpack(data: bytes, bucket: int | np.ndarray) -> np.ndarray:
     """Shingle ids: the packed bits under the number of their hash range."""
     out = np.zeros((len(data) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(_U) | _U(bucket % 65_536) << _U(48)
+    return out.view("<u8").ravel().astype(_U) | (np.asarray(bucket) % 65_536).astype(_U) << _U(48)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -133,22 +139,72 @@ def needed(n, m, percent: int = PERCENT):
     return -(-percent * (n + m) // (100 + percent))
 
 
+class Summary:
+    """Counts of the most frequent shingles seen, in bounded space: whenever more than `size` are
+    held, all counts drop by that of the first one too many.  A count is then too low by at most
+    the number of shingles seen over `size`."""
+
+    def __init__(self, size: int = SUMMARY):
+        self.size, self.waiting, self.n = size, [], 0
+        self.keys, self.counts = np.zeros(0, _U), np.zeros(0, np.int64)
+
+    def add(self, hashes: list[np.ndarray]) -> None:
+        self.waiting += hashes
+        self.n += sum(map(len, hashes))
+        if self.n >= COUNTED:
+            self.prune()
+
+    def prune(self) -> None:
+        keys = np.concatenate([self.keys, *self.waiting])
+        counts = np.concatenate([self.counts, np.ones(self.n, np.int64)])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.waiting, self.n = [], 0
+        if len(self.keys) > self.size:
+            self.counts = self.counts - np.partition(self.counts, len(self.counts) - self.size - 1)[len(self.counts) - self.size - 1]
+            kept = self.counts > 0
+            self.keys, self.counts = self.keys[kept], self.counts[kept]
+
+
 def document_sets(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sid per row."""
+    """doc_id, n_shingles, sid per row; and rows whose n_shingles is null, each with a shingle (as
+    doc_id) and how often (as sid) a task's summary counts it, if that is not once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary, names, n_sets = Summary(), ["doc_id", "n_shingles", "sid"], 0
         for batch in batches:
             for part in byte_slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "sid"])
+                n_sets += len(sets)
+                summary.add(sets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=names)
+        summary.prune()
+        often = summary.counts > max(1, n_sets * FREQUENT_SHARE / 2)
+        yield pa.RecordBatch.from_arrays([pa.array(summary.keys[often].view(np.int64)), pa.nulls(int(often.sum()), pa.int64()), pa.array(summary.counts[often])], names=names)
 
     return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, n_shingles long, sid long")
 
 
-def postings(documents: DataFrame, buckets: int) -> DataFrame:
+def frequent_shingles(rows: DataFrame, n_texts: int) -> np.ndarray:
+    """Sorted hashes of the shingles that the tasks' summaries count in `FREQUENT_SHARE` of all
+    texts, a bounded list.  Which ones are in it changes no result, only how postings travel."""
+    counted = rows.where("n_shingles IS NULL").groupBy("doc_id").agg(F.sum("sid").alias("n"))
+    found = counted.where(F.col("n") >= F.lit(max(2.0, n_texts * FREQUENT_SHARE))).orderBy(F.col("n").desc(), "doc_id").limit(FREQUENT_LIST)
+    return np.sort(np.array([r.doc_id for r in found.select("doc_id").collect()], np.int64).view(_U))
+
+
+def range_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+
+
+def postings(documents: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
     """bucket, sids, sizes, counts, hashes: the sets of a run of texts, cut by hash range.
 
-    `hashes` holds, set after set, those in the range; `counts` says how many of each set."""
+    `hashes` holds, set after set, those in the range; `counts` says how many of each set.
+    Postings of `frequent` shingles are dealt by their set's id instead, into rows with bucket
+    `buckets + part` and whole shingle ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,14 +215,19 @@ def postings(documents: DataFrame, buckets: int) -> DataFrame:
                 sids, sizes = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
                 h = np.concatenate(list(sets.values()))
                 owner = np.repeat(np.arange(len(sids)), sizes)
-                bucket = ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-                order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+                bucket = range_of(h, buckets)
+                if len(frequent):
+                    place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                    often = frequent[place] == h
+                    bucket[often] = buckets + sids[owner[often]] % buckets
+                order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 14 else bucket, kind="stable")
                 h, owner, bucket = h[order], owner[order], bucket[order]
                 used, cut = np.unique(bucket, return_index=True)
                 rows: list = [[], [], [], [], []]
                 for b, (a, z) in zip(used, spans(cut, len(h)), strict=True):
                     who, counts = np.unique(owner[a:z], return_counts=True)
-                    for column, v in zip(rows, (int(b), sids[who].tobytes(), sizes[who].tobytes(), counts.astype(np.int64).tobytes(), pack(h[a:z])), strict=True):
+                    held = pack(h[a:z]) if b < buckets else unpack(pack(h[a:z]), range_of(h[a:z], buckets)).tobytes()
+                    for column, v in zip(rows, (int(b), sids[who].tobytes(), sizes[who].tobytes(), counts.astype(np.int64).tobytes(), held), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], names=["bucket", "sids", "sizes", "counts", "hashes"])
 
@@ -181,24 +242,27 @@ def _whole(table: pa.Table, name: str, kind) -> np.ndarray:
 def shared_postings(blobs: DataFrame, parts: int) -> DataFrame:
     """part, bucket, sids, sizes, counts, hashes, df: per hash range and part of the set ids,
     the shingles that two sets or more hold, packed as in `postings`; df is cut at 65535, which
-    keeps the order of all rarer ones."""
+    keeps the order of all rarer ones.  Frequent shingles come dealt by part (bucket -1, whole
+    ids) and have a df of 65535."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        counts, h = _whole(table, "counts", np.int64), unpack(b"".join(table.column("hashes").to_pylist()), bucket)
+        dealt, blob = bucket >= parts, b"".join(table.column("hashes").to_pylist())
+        counts, h = _whole(table, "counts", np.int64), np.frombuffer(blob, _U) if dealt else unpack(blob, bucket)
         owner = np.repeat(np.arange(len(counts)), counts)
         sids, sizes = _whole(table, "sids", np.int64), _whole(table, "sizes", np.int64)
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
-        again = np.flatnonzero(np.concatenate([h[1:] == h[:-1], [False]]) | np.concatenate([[False], h[1:] == h[:-1]]))
-        h, owner = h[again], owner[again]
+        if not dealt:
+            again = np.flatnonzero(np.concatenate([h[1:] == h[:-1], [False]]) | np.concatenate([[False], h[1:] == h[:-1]]))
+            h, owner = h[again], owner[again]
         sid = sids[owner]
         order = np.lexsort((sid, h))  # equal sets of other runs are one set
         h, sid, owner = h[order], sid[order], owner[order]
         keep = np.concatenate([[True], (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])]) if len(h) else np.zeros(0, bool)
         h, sid, owner = h[keep], sid[keep], owner[keep]
         _, back, df = np.unique(h, return_inverse=True, return_counts=True)
-        df = df[back] if len(h) else df
+        df = np.full(len(h), 65535) if dealt else df[back] if len(h) else df
         keep = df > 1
         h, sid, owner, df = h[keep], sid[keep], owner[keep], np.minimum(df[keep], 65535).astype("<u2")
         part = sid % parts
@@ -208,7 +272,7 @@ def shared_postings(blobs: DataFrame, parts: int) -> DataFrame:
         rows: list = [[], [], [], [], [], [], []]
         for p, (i, j) in zip(used, spans(cut, len(h)), strict=True):
             who, first, k = np.unique(sid[i:j], return_index=True, return_counts=True)
-            for column, v in zip(rows, (int(p), bucket, who.tobytes(), sizes[owner[i:j][first]].tobytes(), k.astype(np.int64).tobytes(), pack(h[i:j]), df[i:j].tobytes()), strict=True):
+            for column, v in zip(rows, (int(p), -1 if dealt else bucket, who.tobytes(), sizes[owner[i:j][first]].tobytes(), k.astype(np.int64).tobytes(), h[i:j].tobytes() if dealt else pack(h[i:j]), df[i:j].tobytes()), strict=True):
                 column.append(v)
         return pa.table([*(pa.array(c, pa.int32()) for c in rows[:2]), *(pa.array(c, pa.binary()) for c in rows[2:])], names=["part", "bucket", "sids", "sizes", "counts", "hashes", "df"])
 
@@ -233,7 +297,7 @@ def prefixes(shared: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         sids, sizes, counts = (_whole(table, c, np.int64) for c in ("sids", "sizes", "counts"))
-        h = np.concatenate([unpack(b, k) for b, k in zip(table.column("hashes").to_pylist(), table.column("bucket").to_pylist(), strict=True)])
+        h = np.concatenate([np.frombuffer(b, _U) if k < 0 else unpack(b, k) for b, k in zip(table.column("hashes").to_pylist(), table.column("bucket").to_pylist(), strict=True)])
         df = _whole(table, "df", "<u2")
         sid, size = np.repeat(sids, counts), np.repeat(sizes, counts)
         order = np.lexsort((h, df, sid))
@@ -354,12 +418,22 @@ def tree_pairs(n: np.ndarray, vec: np.ndarray, component: np.ndarray, side: np.n
 def block_pairs(entries: DataFrame, nearest: int | None = None) -> DataFrame:
     """a, b: candidate pairs (the `nearest` per set and block, or all) of the key groups in `entries` (key, sid, n, vec, component, m).
 
-    A group of m sets above `BLOCK` is dealt into c chunks by hash, and each pair of chunks is
-    a block of its own, so a task holds two chunks at most."""
-    chunks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sid"), F.col("c")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
-    dealt = entries.withColumn("c", chunks).withColumn("own", own).withColumn("other", other)
+    A group of m sets above `BLOCK` is dealt into chunks, and each pair of chunks is a block of
+    its own, so a task holds two chunks at most.  A component of more than `BLOCK` sets has chunks
+    of its own; the others are dealt by their component.  Blocks inside one component are left
+    out, so a set of a large component is repeated once per chunk of other components only."""
+    large = entries.where(F.col("m") > BLOCK).groupBy("key", "component", "m").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK)
+    large = large.withColumn("own_chunks", F.ceil(F.col("k") / BLOCK).cast("int"))
+    before = Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)  # large components of a key, m / BLOCK at most
+    placed = large.withColumn("first", F.coalesce(F.sum("own_chunks").over(before), F.lit(0)).cast("int"))
+    taken = placed.groupBy("key").agg(F.sum("own_chunks").cast("int").alias("taken"), F.sum("k").alias("inside"))
+    known = entries.join(taken, "key", "left").join(placed.select("key", "component", "own_chunks", "first"), ["key", "component"], "left")
+    shared = F.greatest(F.lit(1), F.ceil((F.col("m") - F.coalesce("inside", F.lit(0))) / BLOCK)).cast("int")
+    known = known.withColumn("shared", shared).withColumn("c", F.coalesce("taken", F.lit(0)) + F.col("shared"))
+    alone = F.col("own_chunks").isNotNull()
+    own = F.when(alone, F.col("first") + F.pmod(F.xxhash64("sid"), F.col("own_chunks"))).otherwise(F.coalesce("taken", F.lit(0)) + F.pmod(F.xxhash64("component"), F.col("shared"))).cast("int")
+    others = F.when(alone, F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda x: (x < F.col("first")) | (x >= F.col("first") + F.col("own_chunks")))).otherwise(F.sequence(F.lit(0), F.col("c") - 1))
+    dealt = known.withColumn("own", own).withColumn("other", F.explode(others))
     blocks = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "n", "vec", "component")
     blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -413,9 +487,10 @@ def link_sets(sets: DataFrame) -> DataFrame:
         roots = connect(tied)
         known = moved.join(roots.withColumnRenamed("node", "component"), "component", "left").select("sid", F.coalesce("root", "component").alias("component"))
         own = roots.select(F.col("node").alias("sid"), F.col("root").alias("component"))
-        moved = materialize(known.unionByName(own), "labels")
+        before_merge, moved = moved, materialize(known.unionByName(own), "labels")
         n_moved = moved.count()
-        release(spark)
+        remove(before_merge)
+        remove(roots)
 
     for r in range(ROUNDS + 1):
         here = labelled(wide, "sid", "component")
@@ -435,6 +510,7 @@ def link_sets(sets: DataFrame) -> DataFrame:
             pairs = block_pairs(rest, None if last else 1 << (r - 1))
         before = n_moved
         merge(verified(pairs, sets))
+        remove(mixed_keys)
         if r and last:
             break
     remove(wide)
@@ -445,14 +521,18 @@ def members(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows as doc_id, n_shingles, sid; and those with shingles as doc_id, n_shingles, sid,
     component."""
     spark = documents.sparkSession
-    rows = materialize(document_sets(documents), "documents")
-    volume = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    counted = materialize(document_sets(documents), "documents")
+    rows = counted.where("n_shingles IS NOT NULL")
+    n_texts, volume = rows.agg(F.count(F.when(F.col("n_shingles") > 0, 1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     buckets = max(shuffle_parts(spark), -(-volume // RANGE_POSTINGS))
-    sets = materialize(prefixes(shared_postings(postings(documents, buckets), buckets)), "sets")
-    release(spark)
+    frequent = frequent_shingles(counted, n_texts)
+    sets = materialize(prefixes(shared_postings(postings(documents, buckets, frequent), buckets)), "sets")
     moved = link_sets(sets)
     held = rows.where("n_shingles > 0").join(moved, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component"))
-    return rows, materialize(held, "members")
+    held = materialize(held, "members")
+    remove(sets)
+    remove(moved)
+    return rows, held
 
 
 def jaccard_join(documents: DataFrame) -> DataFrame:
@@ -491,7 +571,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     best = best.select(F.col("w.doc_id").alias("_best_id"), F.col("w.sid").alias("_best_sid"))
     won = keys.join(best, keys.doc_id.eqNullSafe(F.col("_best_id")) & (keys.sid == F.col("_best_sid")), "left")
     marked = materialize(won.select("doc_id", "sid", "k", F.col("_best_sid").isNotNull().alias("stays")).where("NOT stays OR k > 1"), "copies")
-    mark, sid = (f"_{n}_{len(documents.columns)}" for n in ("stays", "sid"))
+    mark, sid, marked_id, marked_sid = free_names(documents.columns, "stays", "sid", "marked_id", "marked_sid")
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,9 +582,9 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
     ship(documents.sparkSession)
     known = documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(sid, LongType())]))
-    side = marked.select(F.col("doc_id").alias("_marked_id"), F.col("sid").alias("_marked_sid"), F.col("stays").alias(mark))
+    side = marked.select(F.col("doc_id").alias(marked_id), F.col("sid").alias(marked_sid), F.col("stays").alias(mark))
     side = F.broadcast(side) if marked.count() <= BROADCAST_COPIES else side
-    joined = known.join(side, known["doc_id"].eqNullSafe(F.col("_marked_id")) & (known[sid] == F.col("_marked_sid")), "left")
+    joined = known.join(side, known["doc_id"].eqNullSafe(F.col(marked_id)) & (known[sid] == F.col(marked_sid)), "left")
     alone = joined.where(F.col(mark).isNull()).select(*documents.columns)
     repeated = joined.where(F.col(mark)).select(*documents.columns, sid).dropDuplicates(["doc_id", sid]).select(*documents.columns)
     return alone.unionByName(repeated)

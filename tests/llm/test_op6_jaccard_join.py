@@ -111,3 +111,42 @@ def test_large_counts_bound_nothing():
 def test_shingles_of_every_kind_of_space():
     a, b, c, d = op.shingle_sets(pa.array(["A b\tc\nd\x0be", "a  b c d e ", "a b c d", None]))
     assert a.tolist() == b.tolist() and len(a) == len(c) == 1 and a[0] != c[0] and len(d) == 0
+
+
+def test_frequent_shingles_are_dealt_and_change_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(900)]
+    passage = " ".join(rng.choice(words) for _ in range(12))
+    rows = []
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(40)]
+        rows += [(len(rows) + k, f"{passage} {' '.join(base[:39 - k])}") for k in range(3)]
+    df = fx.documents(spark, [(i, t, "en", "a") for i, t in rows]).repartition(3)
+    counted = op.materialize(op.document_sets(df), "documents")
+    frequent = op.frequent_shingles(counted, len(rows))
+    assert len(frequent) >= 8 and (np.diff(frequent.astype(object)) > 0).all()
+    blobs = op.materialize(op.postings(df, 7, frequent), "blobs")
+    by_bucket = {r.bucket: r.n for r in blobs.groupBy("bucket").agg({"counts": "count"}).withColumnRenamed("count(counts)", "n").collect()}
+    assert {b for b in by_bucket if b >= 7} == set(range(7, 14))  # one shingle's postings are in many groups
+    assert got(df) == brute(rows)
+    monkeypatch.setattr(op, "FREQUENT_LIST", 0)
+    assert got(df) == brute(rows)
+
+
+def test_a_summary_keeps_what_is_frequent():
+    rng = np.random.default_rng(0)
+    summary = op.Summary(200)
+    for _ in range(40):
+        summary.add([np.unique(np.concatenate([np.array([7, 9], np.uint64), rng.integers(10, 2**60, 100).astype(np.uint64)]))])
+        summary.prune()
+    counts = dict(zip(summary.keys.tolist(), summary.counts.tolist(), strict=True))
+    assert len(counts) <= 200 and counts[7] == counts[9] and 20 <= counts[7] <= 40
+
+
+@pytest.mark.parametrize("columns", [["marked_id", "_marked_id", "stays", "sid", "marked_sid"], ["STAYS", "_marked_sid", "_stays_7", "_sid_7"]])
+def test_deduplicate_among_clashing_names(spark, columns):
+    from pyspark.sql import functions as F
+
+    df = fx.documents(spark).select("doc_id", "text", *(F.lit(1).alias(c) for c in columns))
+    kept = op.deduplicate(df)
+    assert kept.columns == df.columns and kept.count() == 10
