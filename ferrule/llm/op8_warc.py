@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,13 +26,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, new_path, read_table
+from .common import byte_slices, map_arrow, materialize, new_path, read_table
 
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 8 << 20
-#: A table of repeated payloads up to this many rows is broadcast; beyond, it is joined by shuffle.
+#: Bytes of a record header: a longer one is no header, neither for the writer nor for the reader.
+MOST_HEADER = 1 << 20
+#: A table of repeated payloads up to this many rows is broadcast.  Beyond, the most frequent ones
+#: are, and the others, each in a bounded number of rows, are joined by shuffle.
 BROADCAST_PAYLOADS = 200_000
+#: Tasks that read ranges: one per range up to this many.
+MOST_TASKS = 20_000
 #: Records carry a fixed date, so that writing the same rows again gives the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -72,8 +78,24 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def first_payloads(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """digest, payload_bytes, first_id of the payloads that occur in more than one record."""
-    return pages.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    """digest, payload_bytes, first_id, n of the payloads that occur in more than one record."""
+    return pages.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def with_first(hashed: DataFrame, first: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows with first_id of their payload, null where it occurs once.
+
+    The `most` most frequent payloads come by broadcast.  Where there are more, a payload beyond
+    them occurs at most 1 / most of all rows each, so the shuffled join of the rest has no key
+    that fills a task."""
+    most, key = BROADCAST_PAYLOADS if most is None else most, ["digest", "payload_bytes"]
+    if first.count() <= most:
+        return hashed.join(F.broadcast(first.drop("n")), key, "left")
+    top = materialize(first.orderBy(F.col("n").desc(), *key).limit(most).select(*key, F.col("first_id").alias("top_id"), F.lit(True).alias("top")), "payloads")
+    marked = hashed.join(F.broadcast(top), key, "left")
+    frequent = marked.where("top").select(*hashed.columns, F.col("top_id").alias("first_id"))
+    rest = marked.where("top IS NULL").select(*hashed.columns).join(first.drop("n"), key, "left")
+    return frequent.unionByName(rest)
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -88,9 +110,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     hashed = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     hashed = hashed.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     first = materialize(first_payloads(hashed, least_bytes), "payloads")
-    side = F.broadcast(first) if first.count() <= BROADCAST_PAYLOADS else first
     revisit = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    rows = hashed.join(side, ["digest", "payload_bytes"], "left").select("page_id", "url", "payload", "digest", revisit.alias("refers_to"))
+    rows = with_first(hashed, first).select("page_id", "url", "payload", "digest", revisit.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open_fs(target)
@@ -107,15 +128,16 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
                 out = None
 
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if out is None or size >= archive_bytes:
-                    close()
-                    name = f"{base}/part-{task.partitionId():06d}-{len(done):04d}.warc"
-                    aside, size = f"{name}.{task.taskAttemptId()}.tmp", 0
-                    out = system.open_output_stream(aside)
-                data = record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers_to)
-                out.write(data)
-                size += len(data)
+            for part in byte_slices(batch, "payload"):
+                for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if out is None or size >= archive_bytes:
+                        close()
+                        name = f"{base}/part-{task.partitionId():06d}-{len(done):04d}.warc"
+                        aside, size = f"{name}.{task.taskAttemptId()}.tmp", 0
+                        out = system.open_output_stream(aside)
+                    data = record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers_to)
+                    out.write(data)
+                    size += len(data)
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "bytes"])
 
@@ -126,30 +148,73 @@ def _header(stream, offset: int, size: int) -> tuple[dict, int, int] | None:
     """Fields, block offset and successor offset of a record that starts at `offset`; None where
     no header parses or its block would pass the end of the file."""
     stream.seek(offset)
-    data = b""
-    while END not in data:
+    data, seen = bytearray(), 0
+    while (at := data.find(END, seen)) < 0:
+        seen = max(0, len(data) - len(END) + 1)
         more = stream.read(4096)
-        if not more or len(data) > (1 << 20):
+        if not more or len(data) > MOST_HEADER:
             return None
         data += more
-    head = data[: data.index(END)]
     fields = {}
-    for line in head.split(b"\r\n")[1:]:
+    for line in bytes(data[:at]).split(b"\r\n")[1:]:
         key, sep, value = line.partition(b":")
         if not sep:
             return None
         fields[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
         return None
-    block = offset + len(head) + len(END)
-    after = block + int(fields["content-length"]) + len(END)
-    return (fields, block, after) if after <= size else None
+    after = offset + at + len(END) + int(fields["content-length"]) + len(END)
+    return (fields, offset + at + len(END), after) if after <= size else None
+
+
+def successors(data: bytes, start: int, within: int, size: int) -> dict[int, int]:
+    """Place -> successor for every magic that begins in the first `within` bytes of `data` (which
+    lies at `start` in a file of `size` bytes) and opens a header that parses.
+
+    All magics before one header end share its lines, so these are split once: a header is valid
+    from the line on after which every line is a field, and the last of equal fields counts.  Work
+    is linear in the bytes, whatever a payload holds."""
+    found: dict[int, int] = {}
+    at = data.find(MAGIC, 0, within + len(MAGIC) - 1)
+    while at >= 0:
+        end = data.find(END, at)
+        if end < 0:
+            break
+        least = max(at, end - MOST_HEADER)  # a header is no longer than that
+        places = [m.start() for m in re.finditer(re.escape(MAGIC), data[least : min(end + 2, within + len(MAGIC) - 1)])]
+        lines = data[least:end].split(b"\r\n")
+        begins, position = [], 0
+        for line in lines:
+            begins.append(position)
+            position += len(line) + 2
+        valid_from = next((i + 1 for i in range(len(lines) - 1, -1, -1) if b":" not in lines[i]), 0)
+        last = {key.strip().lower(): i for i, line in enumerate(lines) if (key := line.partition(b":")[0])}
+        length, kind = last.get(b"content-length", -1), last.get(b"warc-type", -1)
+        value = lines[length].partition(b":")[2].strip() if length >= 0 else b""
+        if value.isdigit() and kind >= 0:
+            after = start + end + 2 * len(END) + int(value)
+            for p in places:
+                first = bisect_left(begins, p + len(MAGIC))  # the line after the magic's own
+                if p + len(MAGIC) <= end and first >= valid_from and first <= min(length, kind) and after <= size:
+                    found[start + least + p] = after
+        at = data.find(MAGIC, end + 2, within + len(MAGIC) - 1)
+    return found
+
+
+def spread(rows: DataFrame, n: int) -> DataFrame:
+    """The rows dealt evenly over a task each, at most `MOST_TASKS`: they are tiny, but each stands
+    for a range of bytes to read, which no size estimate of theirs shows."""
+    return rows.repartition(max(1, min(n, MOST_TASKS)))
 
 
 def ranges(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """path, bytes, start: one row per byte range of each archive, spread over tasks."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
-    return manifest.select("path", "bytes", starts.alias("start")).repartition("path", "start")
+    return spread(manifest.select("path", "bytes", starts.alias("start")), range_count(manifest, range_bytes))
+
+
+def range_count(manifest: DataFrame, range_bytes: int) -> int:
+    return int(manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 0)
 
 
 def candidates(manifest: DataFrame, folder_uri: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -164,12 +229,10 @@ def candidates(manifest: DataFrame, folder_uri: str, range_bytes: int = RANGE_BY
                 with system.open_input_file(path) as stream:
                     stream.seek(start)
                     data = stream.read(end - start + len(MAGIC) - 1)
-                    places, at = [], data.find(MAGIC)
-                    while at >= 0:
-                        places.append(start + at)
-                        at = data.find(MAGIC, at + 1)
-                    del data
-                    after = {p: h[2] for p in places if (h := _header(stream, p, size)) is not None}
+                    if data.rfind(MAGIC) > data.rfind(END):  # the last header ends behind the range
+                        data += stream.read(MOST_HEADER)
+                after = successors(data, start, end - start, size)
+                del data
                 exits: dict[int, int] = {}
                 for p in sorted(after, reverse=True):  # successors lie behind, so theirs are known
                     exits[p] = exits.get(after[p], -1) if after[p] < end else after[p]
@@ -215,7 +278,7 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYT
     broken = manifest.where("bytes > 0").join(complete, "path", "left_anti")
     if (bad := broken.first()) is not None:
         raise ValueError(f"the record chain of {bad.path} does not reach its end")
-    inside = starts.join(manifest, "path").where("offset < bytes").repartition("path", "offset")
+    inside = spread(starts.join(manifest, "path").where("offset < bytes"), range_count(manifest, range_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _open_fs(uri)

@@ -71,3 +71,50 @@ def test_a_broken_archive_is_an_error(spark):
     open(path, "wb").write(data[:-10])
     with pytest.raises(ValueError, match="does not reach"):
         op.read_archives(manifest.withColumn("bytes", F.col("bytes") - 10), folder).collect()
+
+
+def test_ranges_are_dealt_over_many_tasks(spark):
+    manifest = spark.createDataFrame([("a", 400 * 97), ("b", 10)], "path string, bytes long")
+    rows = op.ranges(manifest, 97)
+    assert rows.rdd.getNumPartitions() == 401
+    sizes = rows.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 401 and max(sizes) <= 16 and sum(n > 0 for n in sizes) > 100
+
+
+def naive(data, size):
+    """Every place where a header parses, read one at a time."""
+    import io
+
+    out, at = {}, data.find(op.MAGIC)
+    while at >= 0:
+        if (h := op._header(io.BytesIO(data), at, size)) is not None:
+            out[at] = h[2]
+        at = data.find(op.MAGIC, at + 1)
+    return out
+
+
+def test_successors_equal_one_header_at_a_time():
+    import random
+
+    rng = random.Random(4)
+    pieces = [op.MAGIC, b"\r\n", b"\r\n\r\n", b"WARC-Type: response\r\n", b"Content-Length: 7\r\n", b"Content-Length: x\r\n", b"a: b\r\n", b"no field\r\n", b"text", b"x WARC/1.1\r\n", b":"]
+    for _ in range(400):
+        data = b"".join(rng.choice(pieces) for _ in range(rng.randint(1, 60)))
+        want = naive(data, len(data) + 5)
+        assert op.successors(data, 0, len(data), len(data) + 5) == want
+        assert op.successors(data, 0, 20, len(data) + 5) == {p: e for p, e in want.items() if p < 20}
+
+
+def test_a_payload_full_of_magics_is_read_in_linear_time():
+    import time
+
+    for data in (op.MAGIC * 300_000, b"a:" + op.MAGIC * 300_000 + b"\r\n", (b"k:" + op.MAGIC) * 200_000 + b"Content-Length: 1\r\nWARC-Type: x\r\n\r\n"):
+        began = time.perf_counter()
+        op.successors(data, 0, len(data), len(data) + 100)
+        assert time.perf_counter() - began < 5
+
+
+def test_more_repeated_payloads_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(op, "BROADCAST_PAYLOADS", 1)
+    rows = ROWS + [(100 + i, None, f"body {i % 5}") for i in range(30)] + [(200, None, "alone again")]
+    assert write_read(spark, rows) == expected(rows)
