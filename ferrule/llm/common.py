@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -81,6 +82,11 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def local_uri(path: str) -> str:
+    """A path as Spark names files, as a URI that Arrow's file systems open."""
+    return unquote(re.sub(r"^file:/+", "file:///", path))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

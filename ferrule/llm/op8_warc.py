@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, map_arrow, materialize, new_path, read_table
+from .common import byte_slices, local_uri, map_arrow, materialize, new_path, read_table
 
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -50,7 +50,7 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def _open_fs(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    return fs.FileSystem.from_uri(local_uri(uri))
 
 
 def sha1_base32(payload: bytes) -> str:

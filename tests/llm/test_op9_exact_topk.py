@@ -61,10 +61,35 @@ def test_the_walk_prunes():
     rng = np.random.default_rng(4)
     x = np.floor(rng.normal(size=(20_000, 2)) * 256)
     tree = op.Tree(np.arange(len(x)), x)
-    q = np.array([100.0, 50.0])
-    opened = []
-    bounds = tree.bounds(q[None])[0]
-    spans = tree.spans
-    tree.spans = type("Spy", (), {"__getitem__": lambda self, i: opened.append(i) or spans[i]})()
-    best = tree.search(bounds, q, -1, [], 5, -np.inf)
-    assert [s for s, _ in best] == sorted((x @ q))[-5:] and len(opened) < len(spans) / 10
+    q = np.floor(rng.normal(size=(40, 2)) * 256)
+    best = op.Best(np.full(40, -1), q, 5)
+    best.search(tree)
+    assert (best.scores == np.sort(x @ q.T, axis=0)[::-1][:5].T).all()
+    assert best.opened < 40 * (tree.left < 0).sum() / 10
+    first = best.opened
+    best.search(op.Tree(np.arange(len(x)) + 10**6, x - 10**4))  # nothing here reaches the k-th scores
+    far = best.opened - first
+    assert far < 40 * (tree.left < 0).sum() / 2
+
+
+def test_the_kth_score_is_carried_over_shards(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, np.round(rng.normal(size=5), 2).tolist()) for i in range(600)]
+    want = brute(rows, 5, 3)
+    monkeypatch.setattr(op, "SHARD", 50)
+    assert got(spark, rows) == want and got(spark, rows, block=11) == want
+
+
+def test_a_task_reads_bounded_parts(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    blocks = op.build_blocks(op.usable(df, "vec_id", "embedding"), 64)
+    assert [len(r.ids) // 8 for r in blocks.collect()] == [64, 64, 64, 64, 44]
+
+
+def test_stored_trees_come_back_whole():
+    rng = np.random.default_rng(2)
+    for n, d in ((500, 3), (5, 1), (4, 0)):
+        tree = op.Tree(np.arange(n), np.floor(rng.normal(size=(n, d)) * 9))
+        back = op.Tree.load(d, tree.dump())
+        assert all(np.array_equal(getattr(tree, f), getattr(back, f)) and getattr(tree, f).shape == getattr(back, f).shape for f in op.Tree.FIELDS)
