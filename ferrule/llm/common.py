@@ -151,22 +151,32 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, mod: in
     ]
     if not ids:
         return [], 0.5
-    wanted = F.broadcast(documents.sparkSession.createDataFrame(ids, "doc_id long, y int"))
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    wanted = F.broadcast(documents.sparkSession.createDataFrame(ids, "doc_id long, g int"))
+    texts = documents.select("doc_id", "text").join(wanted, "doc_id")
+    return bounded_texts(texts, ids, per_class * max_chars), totals.get(1, 0) / sum(totals.values())
+
+
+def bounded_texts(texts: DataFrame, order: list[tuple], room: int) -> list[tuple]:
+    """(doc_id, text, g) of the keys (doc_id, g) in `order`, with whole texts: of each value of g the
+    first that hold `room` characters together, one at least.  `texts` (doc_id, text, g) has those
+    keys alone; null texts are left out, and a key in several rows gives its smallest text."""
+    one = texts.where(F.col("text").isNotNull()).groupBy("doc_id", "g").agg(F.min("text").alias("text"))
     # lengths first: where the bound is met whole rows are left out, so that no text is cut
-    held = materialize(texts, "sample")
-    sizes = {r.doc_id: r.n for r in held.select("doc_id", F.char_length("text").alias("n")).collect()}
-    taken = []
-    for y in sorted(totals):
-        room = per_class * max_chars
-        for i in (i for i, v in ids if v == y and i in sizes):
-            if sizes[i] > room and room < per_class * max_chars:
-                break
-            room -= sizes[i]
-            taken.append(i)
-    rows = held.where(F.col("doc_id").isin(taken)).collect() if len(taken) < len(sizes) else held.collect()
+    held = materialize(one, "sample")
+    sizes = {(r.doc_id, r.g): r.n for r in held.select("doc_id", "g", F.char_length("text").alias("n")).collect()}
+    left, taken = {}, []
+    for key in order:
+        if key in sizes:
+            free = left.setdefault(key[1], room)
+            if free == room or sizes[key] <= free:
+                taken.append(key)
+                left[key[1]] = free - sizes[key]
+            else:
+                left[key[1]] = -1  # nothing behind the first that does not fit
+    wanted = F.broadcast(held.sparkSession.createDataFrame(taken, held.select("doc_id", "g").schema)) if taken else held.select("doc_id", "g").limit(0)
+    rows = held.join(wanted, ["doc_id", "g"]).select("doc_id", "text", "g").collect()
     remove(held)
-    return sorted(((r.doc_id, r.text, r.y) for r in rows), key=lambda r: r[0]), totals.get(1, 0) / sum(totals.values())
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[2]))
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
@@ -183,7 +193,8 @@ def where_text(df: DataFrame, keep) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepts = keep()
         for batch in batches:
-            yield batch.filter(pa.array(accepts(batch.column(at).to_pylist()), pa.bool_()))
+            for part in byte_slices(batch, "text"):
+                yield part.filter(pa.array(accepts(part.column(at).to_pylist()), pa.bool_()))
 
     ship(df.sparkSession)
     return df.mapInArrow(run, df.schema)

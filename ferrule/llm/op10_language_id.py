@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, held_out, map_arrow, read_table
+from .common import bounded_texts, byte_slices, held_out, map_arrow, read_table
 
 TABLE_BITS = 16
-#: Bounds of what fitting sees: texts per language, and characters of each.
+#: Bounds of what fitting sees: texts per language, and characters per text on average; texts are whole.
 SAMPLE, SAMPLE_CHARS = 600, 8_000
 STEPS = 6
 #: Cost of one more language in a document's set, in units of log(words + 1).
@@ -56,8 +56,10 @@ def _words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(documents: DataFrame, mod: int = 4, remainder: int = 2, per_lang: int = SAMPLE, max_chars: int = SAMPLE_CHARS) -> dict:
-    """n-gram log likelihoods from at most `per_lang` texts of each language value outside the
-    held-out fold, taken by the hash of their ids; null texts and null languages are left out."""
+    """n-gram log likelihoods from at most `per_lang` whole texts of each language value outside the
+    held-out fold, taken by the hash of their ids as far as `per_lang * max_chars` characters go;
+    null texts and null languages are left out, and an id in several rows of a language gives its
+    smallest text."""
     known = documents.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(mod, remainder))
     # a language's share of hash space that holds about twice the texts wanted: what reaches the
     # driver is bounded without gathering a language's rows in one task
@@ -67,12 +69,13 @@ def fit(documents: DataFrame, mod: int = 4, remainder: int = 2, per_lang: int =
     ids = [r for lang in {r.lang for r in counts} for r in sorted((r for r in near if r.lang == lang), key=lambda r: (r.h, r.doc_id))[:per_lang]]
     if not ids:
         return {"langs": [], "table": np.zeros((1 << TABLE_BITS, 0), np.float32)}
-    wanted = F.broadcast(documents.sparkSession.createDataFrame([(r.doc_id, r.lang) for r in ids], "doc_id long, lang string"))
-    rows = documents.select("doc_id", "lang", F.substring("text", 1, max_chars).alias("text")).where(F.col("text").isNotNull()).join(wanted, ["doc_id", "lang"]).collect()
-    langs = sorted({r.lang for r in rows})
+    keys = [(r.doc_id, r.lang) for r in ids]
+    wanted = F.broadcast(documents.sparkSession.createDataFrame(keys, "doc_id long, g string"))
+    rows = bounded_texts(documents.select("doc_id", "text", F.col("lang").alias("g")).join(wanted, ["doc_id", "g"]), keys, per_lang * max_chars)
+    langs = sorted({g for *_, g in rows})
     counts = np.zeros((len(langs), 1 << TABLE_BITS))
     for k, lang in enumerate(langs):
-        b, _ = _buffers(pa.array([r.text for r in rows if r.lang == lang], pa.large_string()))
+        b, _ = _buffers(pa.array([t for _, t, g in rows if g == lang], pa.large_string()))
         g = _grams(b)
         counts[k] = np.bincount(g[b != 0x20], minlength=1 << TABLE_BITS)
     pooled = counts.sum(0)

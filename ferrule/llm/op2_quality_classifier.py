@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_arrow, read_table, where_text
+from .common import byte_slices, held_out, labelled_sample, map_arrow, read_table, where_text
 from .fitting import fit_logistic, predict_logistic
 
 BLOCK = 1024
@@ -122,14 +122,20 @@ def quality_classifier(documents: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer(model["good"], model["bad"])
         for batch in batches:
-            p, difference = scores(model, sizer, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(difference)], names=["doc_id", "score", "size_difference"])
+            for part in byte_slices(batch, "text"):
+                p, difference = scores(model, sizer, part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(difference)], names=["doc_id", "score", "size_difference"])
 
     return map_arrow(documents.select("doc_id", "text"), run, "doc_id long, score double, size_difference double")
 
 
 def keep_good(documents: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, that score `threshold` or more."""
+    """The rows, with all their columns, that score `threshold` or more.
+
+    Defined results: a null text is judged as the empty one; rows repeated in all columns stay or go
+    together; with nothing learned all stay; an empty table gives an empty table; columns of any
+    name but `text` are carried along unread.
+    """
 
     def keep():
         sizer = Sizer(model["good"], model["bad"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import WORD, materialize, read_table
+from .common import WORD, free_names, materialize, read_table, remove
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -115,8 +115,8 @@ def land(sizes: np.ndarray, pi: np.ndarray) -> np.ndarray:
 def _round(last: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         # the largest first: what the flight leaves are then the smallest units of the group
-        frame = frame.assign(_words=frame["size"] * frame["n"]).sort_values(["_words", "h", "doc_id"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
-        sizes = frame.pop("_words").to_numpy(float)
+        frame = frame.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
+        sizes = frame["size"].to_numpy(float)
         pi = flight(sizes, frame["pi"].to_numpy(float), int(frame["place"].iloc[0]) & 0x7FFFFFFF)
         frame["pi"] = land(sizes, pi) if last else pi
         return frame
@@ -154,9 +154,10 @@ def cube_sample(units: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """doc_id, source, size, n, source_size, target, copies: one row per distinct (doc_id,
-    source, size), `n` being how many input rows it stands for.
+    source, size), `n` being how many input rows it stands for and `copies` how often they are taken
+    together: each copies / n times, rounded down, and copies mod n of them once more.
 
-    Defined results: rows equal in id, source and size are one unit and are taken together; a
+    Defined results: rows equal in id, source and size are one unit, whose rows share its copies; a
     null source is a source, last in order; sizes of 0 are taken like any other and add
     nothing; a source without words has target 0 and is not taken; an empty table gives an empty
     table; reruns agree, since every draw is seeded by hashes of ids and groups.
@@ -167,27 +168,47 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
     rated = per_source.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     rated = materialize(rated.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "sources")
     side = F.broadcast(rated) if rated.count() <= BROADCAST_SOURCES else rated
-    whole = F.floor(F.col("rate") + 1e-9).cast("double")
+    whole, expected = F.floor(F.col("rate") * F.col("n") + 1e-9).cast("double"), F.col("rate") * F.col("n")
     joined = units.alias("u").join(side.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")), "inner").select(
-        *(F.col(f"u.{c}").alias(c) for c in (*_KEY, "n")), "rank", "n_units", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("pi")
+        *(F.col(f"u.{c}").alias(c) for c in (*_KEY, "n")), "rank", "n_units", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), expected - whole).alias("pi")
     )
     return cube_sample(joined).withColumn("copies", (F.col("whole") + F.col("pi")).cast("long")).select(*_KEY, "n", "source_size", "target", "copies")
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
-    """The rows as often as the mix takes them, with all their columns.  Rows equal in id, source
-    and size are taken together."""
+    """The rows as often as the mix takes them, with all their columns.
+
+    Defined results: as for `mix`; of rows equal in id, source and size, those whose hash over all
+    columns is smaller are taken once more where the copies do not come out even (only such rows
+    are shuffled); a null text has size 0; an empty table gives an empty table; columns of any name
+    are carried along.
+    """
     kept = documents.columns
-    names = [f"{c}__unit" for c in (*_KEY, "copies")]
-    units = mix(materialize(sized(documents), "sizes")).where("copies > 0").select(*(F.col(c).alias(n) for c, n in zip((*_KEY, "copies"), names, strict=True)))
+    own_id, own_source, own_size, n, copies, place = free_names(kept, *_KEY, "n", "copies", "place")
+    sizes = materialize(sized(documents), "sizes")
+    units = mix(sizes).where("copies > 0").select(*(F.col(c).alias(x) for c, x in zip((*_KEY, "n", "copies"), (own_id, own_source, own_size, n, copies), strict=True)))
     units = materialize(units, "copies")
-    size = sized_column()
-    same = F.col("doc_id").eqNullSafe(F.col(names[0])) & F.col("source").eqNullSafe(F.col(names[1])) & (size == F.col(names[2]))
-    side = F.broadcast(units) if units.count() <= BROADCAST_UNITS else units
-    return documents.join(side, same).withColumn(names[0], F.explode(F.array_repeat(F.lit(0), F.col(names[3]).cast("int")))).select(*kept)
+    remove(sizes)
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (sized_column() == F.col(own_size))
+    even = F.col(copies) % F.col(n) == 0
+
+    def repeated(rows: DataFrame, times) -> DataFrame:
+        return rows.withColumn(copies, F.explode(F.array_repeat(F.lit(0).cast("long"), times.cast("int")))).select(*kept)
+
+    def matched(part: DataFrame) -> DataFrame:
+        return documents.join(F.broadcast(part) if part.count() <= BROADCAST_UNITS else part, same)
+
+    odd = units.where(~even)
+    level = repeated(matched(units.where(even)), F.col(copies) / F.col(n))
+    if odd.isEmpty():
+        return level
+    order = Window.partitionBy(own_id, own_source, own_size).orderBy(F.xxhash64(*kept))
+    placed = matched(odd).withColumn(place, F.row_number().over(order))
+    return level.unionByName(repeated(placed, F.floor(F.col(copies) / F.col(n)) + (F.col(place) <= F.col(copies) % F.col(n)).cast("long")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     mixed = mix(materialize(sized(read_table(spark, sf_dir, "documents")), "sizes"))
     rows = mixed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+    times = F.floor(F.col("copies") / F.col("n")) + (F.col("row") <= F.col("copies") % F.col("n")).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "source")

@@ -22,10 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import byte_slices, map_arrow, read_table
 
 LIMIT, SEGMENTS, POOL = 2048, 1024, 512
+#: Limits of an instruction sequence: tokens, examples, loss-bearing tokens.
+INSTRUCTION_LIMITS = (2048, 16, 1024)
 END_ID = 1
 #: Texts of these characters alone are split alike by both tokenizer libraries.
 _PLAIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-ɏͰ-ͳΑ-ΡΣ-ϿЀ-ҁҊ-ԣ‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥가-힣]*")
@@ -140,6 +143,30 @@ class Packer:
             left = left - np.array([n, 1, item[3]]) / self.limits
 
 
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _emit(pieces: list, schema: str) -> pa.RecordBatch:
+    """Placed pieces of items (key, start, tokens, loss tokens, ids) as rows of `PIECES`, and of the
+    further columns of the schema: loss_tokens, ids."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    longs = [
+        [p[0][0] for p in pieces],
+        [p[1] for p in pieces],
+        [p[2] for p in pieces],
+        [zlib.crc32(p[0][4][p[1] : p[1] + p[2]].tobytes()) for p in pieces],
+        [len(p[0][4]) for p in pieces],
+        [p[3] for p in pieces],
+        [p[4] for p in pieces],
+    ]
+    if "loss_tokens" in names:
+        longs.append([p[0][3] for p in pieces])
+    columns = [pa.array([v if v is None else int(v) for v in column], pa.int64()) for column in longs]
+    if "ids" in names:
+        columns.append(pa.array([p[0][4][p[1] : p[1] + p[2]].astype(np.int32) for p in pieces], pa.list_(pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def pack_documents(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT, segments: int = SEGMENTS, with_ids: bool = False) -> DataFrame:
     """One row per piece of each input row: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and with `with_ids` the ids themselves.
@@ -150,24 +177,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT
     and cut.  A sequence id holds the task's number, so ids of different tasks never meet, and
     a task that runs again on the same rows gives the same pieces.
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def emit(pieces: list) -> pa.RecordBatch:
-        columns = [
-            pa.array([p[0][0] for p in pieces], pa.int64()),
-            *(pa.array([int(v) for v in column], pa.int64()) for column in (
-                [p[1] for p in pieces],
-                [p[2] for p in pieces],
-                [zlib.crc32(p[0][4][p[1] : p[1] + p[2]].tobytes()) for p in pieces],
-                [len(p[0][4]) for p in pieces],
-                [p[3] for p in pieces],
-                [p[4] for p in pieces],
-            )),
-        ]
-        if with_ids:
-            columns.append(pa.array([p[0][4][p[1] : p[1] + p[2]].astype(np.int32) for p in pieces], pa.list_(pa.int32())))
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    schema = PIECES + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer((limit, segments, limit), first_id=TaskContext.get().partitionId() << 40)
@@ -178,14 +188,67 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT
                     ids = np.append(encode(text.as_py() or "", tokenizer_path), np.uint32(END_ID)).astype("<u4", copy=False)
                     items.append((key, 0, len(ids), len(ids), ids))
                 if pieces := list(packer.add(items)):
-                    yield emit(pieces)
+                    yield _emit(pieces, schema)
         if pieces := list(packer.finish()):
-            yield emit(pieces)
+            yield _emit(pieces, schema)
 
     return map_arrow(documents.select("doc_id", "text"), run, schema)
 
 
+def instruction_examples(conversations: DataFrame) -> DataFrame:
+    """example_id, prompt, reply: every assistant turn with the turn before it (none: null).
+
+    Turns meet by (conv_id, turn), so a long conversation is no group.  Defined results: rows with
+    a null conv_id or turn have no turn before them; of several rows before a turn the one with the
+    smallest text counts; repeated assistant rows are examples each, with the same id."""
+    known = conversations.select("conv_id", "turn", "role", "text")
+    before = known.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    replies = known.where("role = 'assistant'").withColumnRenamed("text", "reply").join(before, ["conv_id", "turn"], "left")
+    return replies.select(F.xxhash64("conv_id", "turn").alias("example_id"), "prompt", "reply")
+
+
+def pack_examples(examples: DataFrame, tokenizer_path: str, limits: tuple[int, int, int] = INSTRUCTION_LIMITS, with_ids: bool = False) -> DataFrame:
+    """One row per piece of each example (example_id, prompt, reply): as `pack_documents`, example_id
+    in doc_id's place and with loss_tokens, the loss-bearing ones of the piece.
+
+    A prompt's ids bear no loss, those of the reply and the end id do; a sequence holds at most
+    `limits` tokens, examples and loss-bearing tokens.  An example that fits is never cut; a larger
+    one is cut into examples that fit, prompt first.  Defined results: null texts are empty ones;
+    repeated rows are packed each; an empty table gives an empty table; other columns are not read.
+    """
+    schema = PIECES.replace("doc_id", "example_id") + ", loss_tokens long" + ", ids array<int>" * with_ids
+    most, _, most_loss = limits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(limits, cut=False, first_id=TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            for half in byte_slices(batch, "reply"):
+                for part in byte_slices(half, "prompt"):
+                    items = []
+                    for key, prompt, reply in zip(*(part.column(i) for i in range(3)), strict=True):
+                        asked, said = encode(prompt.as_py() or "", tokenizer_path), encode(reply.as_py() or "", tokenizer_path)
+                        ids = np.concatenate([asked, said, [END_ID]]).astype("<u4")
+                        at = 0
+                        while at < len(ids):
+                            n = min(most, len(ids) - at, max(0, len(asked) - at) + most_loss)
+                            items.append((key.as_py(), at, n, max(0, at + n - max(at, len(asked))), ids))
+                            at += n
+                    if pieces := list(packer.add(items)):
+                        yield _emit(pieces, schema)
+        if pieces := list(packer.finish()):
+            yield _emit(pieces, schema)
+
+    return map_arrow(examples.select("example_id", "prompt", "reply"), run, schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def instruction_query(spark, sf_dir: str) -> DataFrame:
+    """All assistant turns of `conversations`, packed under the three limits."""
+    import public_tokenizers
+
+    return pack_examples(instruction_examples(read_table(spark, sf_dir, "conversations")), public_tokenizers.path("byte_bpe_50k.json"))

@@ -26,6 +26,7 @@ QUERIES = {
     "op8_warc": op8_warc.query,
     "op9_exact_topk": op9_exact_topk.query,
     "op10_language_id": op10_language_id.query,
+    "instruction_packing": op7_packing.instruction_query,
 }
 
 ORACLES = {

@@ -72,10 +72,34 @@ def test_odd_rows(spark):
     assert sum(r.n for r in rows) == df.count()
     repeated = op.mix_documents(df)
     assert repeated.columns == df.columns
-    want = sum(r.n * r.copies for r in rows)
+    want = sum(r.copies for r in rows)
     assert repeated.count() == want
 
 
+def test_rows_of_one_key_share_its_copies(spark):
+    texts = [f"word{k} and some more words of text" for k in range(40)]
+    df = fx.documents(spark, [(None, t, "en", "a") for t in texts] + [(k, "b " * 50, "en", "b") for k in range(30)])
+    units = {(r.doc_id, r.source): r for r in mixed(spark, df).collect()}
+    one = units[None, "a"]
+    assert one.n == 40 and abs(one.copies * one.size - one.target) <= one.size
+    taken = defaultdict(int)
+    for r in op.mix_documents(df).where("source = 'a'").collect():
+        taken[r.text] += 1
+    counts = [taken[t] for t in texts]
+    assert sum(counts) == one.copies and max(counts) - min(counts) <= 1 and max(counts) <= 2
+    shown = spark.createDataFrame([(None, t, "a") for t in texts] + [(k, "b " * 50, "b") for k in range(30)], "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in op.mix_documents(shown).groupBy("source").count().collect()) == sorted(tuple(r) for r in op.mix_documents(df).groupBy("source").count().collect())
+
+
+@pytest.mark.parametrize("columns", [["copies__unit", "n", "copies", "place", "size"], ["COPIES", "_copies", "doc_id__unit", "_n", "h"]])
+def test_mixing_among_clashing_names(spark, columns):
+    from pyspark.sql import functions as F
+
+    df = fx.documents(spark).select("doc_id", "text", "source", *(F.lit(1).alias(c) for c in columns))
+    got = op.mix_documents(df)
+    assert got.columns == df.columns and got.count() == op.mix_documents(fx.documents(spark)).count()
+
+
 def test_many_chunks_settle_in_rounds(spark):
     units = spark.range(3000).selectExpr("id AS doc_id", "'a' AS source", "id % 97 + 1 AS size", "1L AS n", "1 AS rank", "3000L AS n_units", "0.4D AS pi")
     out = op.cube_sample(units, chunk=32).collect()

@@ -85,3 +85,39 @@ def test_all_limits_hold_without_cutting(limits):
 def test_an_example_over_the_limits_is_refused():
     with pytest.raises(ValueError):
         list(op.Packer((10, 2, 10), cut=False).add([(1, 0, 11, 0)]))
+
+
+def turns(spark, rows):
+    return spark.createDataFrame([(c, t, r, x, 1, "p") for c, t, r, x in rows], "conv_id long, turn long, role string, text string, example_id long, prompt string")
+
+
+def check_examples(spark, conversations, limits):
+    """Every id in one piece, loss counts right, all three limits held; returns the sequences' loads."""
+    table = op.instruction_examples(conversations)
+    rows = op.pack_examples(table, PATH, limits, with_ids=True).collect()
+    want = defaultdict(list)
+    for r in table.collect():
+        asked, said = PLAIN.encode(r.prompt or "", add_special_tokens=False).ids, PLAIN.encode(r.reply or "", add_special_tokens=False).ids
+        want[r.example_id].append([(i, False) for i in asked] + [(i, True) for i in said] + [(1, True)])
+    pieces, loads = defaultdict(list), defaultdict(lambda: np.zeros(3))
+    for r in rows:
+        pieces[r.example_id].append(r)
+        loads[r.sequence_id] += (r.length, 1, r.loss_tokens)
+        assert any([i for i, _ in w[r.start : r.start + r.length]] == r.ids and sum(b for _, b in w[r.start : r.start + r.length]) == r.loss_tokens for w in want[r.example_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    assert all(sum(len(w) for w in want[k]) == sum(p.length for p in pieces[k]) for k in want)
+    assert pieces.keys() == want.keys() and all((v <= limits).all() for v in loads.values())
+    return loads
+
+
+def test_all_three_limits_act_on_conversations(spark, sf):
+    loads = check_examples(spark, spark.read.parquet(f"{sf}/conversations.parquet"), (480, 3, 300))
+    full = np.array(list(loads.values()))
+    assert (full[:, 0] > 440).any() and (full[:, 1] == 3).any() and (full[:, 2] > 280).any()
+    assert op.instruction_query(spark, sf).where("loss_tokens > 1024 OR length > 2048").count() == 0
+
+
+def test_odd_conversations(spark):
+    rows = [(1, 0, "user", None), (1, 1, "assistant", "fine " * 400), (2, 0, "assistant", None), (2, 0, "assistant", None), (None, 1, "assistant", "x"), (3, None, "assistant", ""), (4, 0, "user", "a b " * 900), (4, 0, "user", "twice"), (4, 1, "assistant", "yes"), (5, 7, None, "no role"), (5, 8, "assistant", "日本 <|endoftext|>")]
+    check_examples(spark, turns(spark, rows), (64, 5, 40))
+    assert op.pack_examples(op.instruction_examples(turns(spark, [])), PATH).collect() == []

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_ten_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
