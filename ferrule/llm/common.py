@@ -68,7 +68,7 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_FREE, before)
 
 
-_OWN = re.compile(r"(.*/ferrule-[a-z]+-[0-9a-f]{32})/[^/]*")
+_OWN = re.compile(r"(.*/ferrule-[a-z_]+-[0-9a-f]{32})/[^/]*")
 
 
 def remove(df: DataFrame) -> None:

@@ -111,9 +111,9 @@ def check_examples(spark, conversations, limits):
 
 
 def test_all_three_limits_act_on_conversations(spark, sf):
-    loads = check_examples(spark, spark.read.parquet(f"{sf}/conversations.parquet"), (480, 3, 300))
+    loads = check_examples(spark, spark.read.parquet(f"{sf}/conversations.parquet"), (480, 2, 300))
     full = np.array(list(loads.values()))
-    assert (full[:, 0] > 440).any() and (full[:, 1] == 3).any() and (full[:, 2] > 280).any()
+    assert (full[:, 0] > 440).any() and (full[:, 1] == 2).any() and (full[:, 2] > 280).any()
     assert op.instruction_query(spark, sf).where("loss_tokens > 1024 OR length > 2048").count() == 0
 
 

@@ -53,3 +53,21 @@ def test_empty_and_odd_documents(spark, tmp_path):
 def test_tokenizer_is_a_parameter():
     assert corpus_pipeline.TOKENIZER == public_tokenizers.path("byte_bpe_50k.json")
     assert op6_jaccard_join.PERCENT == 80 and op6_jaccard_join.WORDS == 5
+
+
+def test_one_row_and_no_duplicates(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(5000)]
+    for n in (1, 3, 40):
+        folder = str(tmp_path / f"n{n}")
+        rows = [(i, " ".join(rng.choice(words) for _ in range(60)), "en", f"s{i % 3}") for i in range(n)]
+        fx.documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+        fx.labels(spark, []).write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        kept = corpus_pipeline.near_duplicates(spark, docs, folder)
+        assert kept.count() == n  # nothing is like anything else
+        units = op4_mixing.mix(materialize(op4_mixing.sized(docs), "t")).collect()
+        assert sum(r.copies for r in units) == got.where("start = 0").count()
