@@ -44,12 +44,14 @@ class Config:
     max_file_mb: int = 100
     max_read_kb: int = 64
     media: bool = False
+    symlinks: bool = False
+    places: str | None = None
 
     def __post_init__(self):
         if self.refresh not in REFRESH_SECONDS:
             raise ValueError(f"no refresh named {self.refresh!r}; known: {', '.join(REFRESH_SECONDS)}")
-        if self.device not in ("cpu", "auto"):
-            raise ValueError(f"device {self.device!r} is not available here; use cpu or auto")
+        if self.device not in ("cpu", "auto", "gpu"):
+            raise ValueError(f"no device named {self.device!r}; known: cpu, auto, gpu")
 
     def deepest_root(self, path: str) -> Root | None:
         """The longest root that holds a path."""
@@ -64,10 +66,13 @@ class Config:
         return self.min_similarity if self.min_similarity is not None else FLOORS.get(self.model, DEFAULT_FLOOR)
 
 
+def from_dict(data: dict) -> Config:
+    return Config(**data | {"roots": [Root(**r) for r in data.get("roots", [])]})
+
+
 def load(path: str) -> Config:
     with open(path, "rb") as f:
-        data = tomllib.load(f)
-    return Config(**data | {"roots": [Root(**r) for r in data.get("roots", [])]})
+        return from_dict(tomllib.load(f))
 
 
 def save(config: Config, path: str) -> None:

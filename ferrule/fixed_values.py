@@ -54,12 +54,10 @@ SOURCE_EXTENSIONS = (
 ).split()
 
 # --- what a walk leaves out ----------------------------------------------------------------
-IGNORED_DIRS = (
+IGNORED = (
     ".git/ .hg/ .svn/ .bzr/ .jj/ node_modules/ __pycache__/ .mypy_cache/ .pytest_cache/ .ruff_cache/ .tox/ .venv/ venv/ "
     "site-packages/ target/debug/ target/release/ .gradle/ .m2/ .cargo/registry/ .rustup/ .npm/ .pnpm-store/ .yarn/ "
-    ".next/ .nuxt/ .svelte-kit/ .terraform/ vendor/ third_party/ .cache/ .local/share/Trash/ .thumbnails/ .Trash-*/"
-).split()
-IGNORED_FILES = (
+    ".next/ .nuxt/ .svelte-kit/ .terraform/ vendor/ third_party/ .cache/ .local/share/Trash/ .thumbnails/ .Trash-*/ "
     "*.pyc *.pyo *.o *.a *.so *.so.* *.ko *.obj *.lib *.dll *.dylib *.class *.jar *.war *.rlib *.rmeta *.d *.cmd *.gcda "
     "*.gcno *.tar *.tar.* *.tgz *.gz *.bz2 *.xz *.zst *.7z *.rar *.deb *.rpm *.apk *.AppImage *.iso *.img *.qcow2 *.vmdk "
     "*.dmg *.lock *.pack *.idx *.map *.min.js *.min.css *.mo *.pdb *.sqlite-wal *.sqlite-shm *.woff *.woff2 *.ttf *.otf *.eot"

@@ -35,7 +35,9 @@ def let(value: Column, body) -> Column:
 # --- lexical index -------------------------------------------------------------------------
 def index_tokens(text: Column) -> Column:
     """Lower-case words of letters and digits without diacritics; null gives no words."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), DIACRITICS, PLAIN_LETTERS)
+    text = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(text) == F.length(text)  # nothing to fold in ASCII
+    folded = F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(text), DIACRITICS, PLAIN_LETTERS))
     return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
@@ -97,6 +99,12 @@ def normalize_ws(text: Column, budget: Column | int) -> Column:
     return F.rtrim(F.substr(single, F.lit(1), budget if isinstance(budget, Column) else F.lit(budget)))
 
 
+def markup_text(markup: Column) -> Column:
+    """Text of HTML or XML without tags, scripts and styles, white space single; entities stay."""
+    bare = F.regexp_replace(F.regexp_replace(markup, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
 def snippet(body: Column) -> Column:
     return F.substring(body, 1, SNIPPET_CHARS)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .text import let
 
 _D = "double"
@@ -79,5 +84,53 @@ def nearest_centroids(rows: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarr
     return index, (difference * difference).sum(1)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equally long vectors without nulls as one array, without Python objects."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+#: Groups whose sums a task holds before it hands them on.
+HELD_GROUPS = 4_096
+
+
+def grouped_sums(rows: DataFrame, group: str | None = None, squares: bool = False) -> DataFrame:
+    """group, total, n: element-wise sums of `vector` per group and task (a group may come several
+    times, so sums of these rows are wanted next), and with `squares` those of the squares as
+    total2.  Null vectors are left out."""
+    kept = rows.where(F.col("vector").isNotNull()).select(F.col(group).cast("string").alias("g") if group else F.lit("").alias("g"), doubles(F.col("vector")).alias("vector"))
+    names = [group or "g", "total", "n", *["total2"] * squares]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def out() -> pa.RecordBatch:
+            lists = lambda i: pa.array([v[i] for v in held.values()], pa.list_(pa.float64()))
+            columns = [pa.array([g for g, _ in held], pa.string()), lists(0), pa.array([v[1] for v in held.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *[lists(2)] * squares], names=names)
+
+        for batch in batches:
+            groups, lengths = np.array(batch.column(0).to_pylist(), object), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for width in np.unique(lengths).tolist():  # one pass where all vectors are equally long
+                at = np.flatnonzero(lengths == width)
+                x = matrix(batch.column(1).take(pa.array(at))).reshape(len(at), int(width))
+                known, place = np.unique(groups[at].astype(str), return_inverse=True)
+                totals, n = np.zeros((len(known), x.shape[1])), np.bincount(place, minlength=len(known))
+                np.add.at(totals, place, x)
+                totals2 = np.zeros_like(totals)
+                if squares:
+                    np.add.at(totals2, place, x * x)
+                for k, g in enumerate(known.tolist()):
+                    old = held.get((g, width))
+                    held[g, width] = [totals[k], n[k], totals2[k]] if old is None else [old[0] + totals[k], old[1] + n[k], old[2] + totals2[k]]
+            if len(held) >= HELD_GROUPS:
+                yield out()
+                held.clear()
+        yield out()
+
+    ship(rows.sparkSession)
+    return kept.mapInArrow(run, f"`{group or 'g'}` string, total array<double>, n long" + ", total2 array<double>" * squares)
+
+
 def round_half_away(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) + 0.5)

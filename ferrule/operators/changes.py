@@ -12,8 +12,8 @@ def detect(current: DataFrame, previous: DataFrame, embed: bool = True, force: b
     """path, status, needs_embed for every path of either state (path, mtime_ns, size, hash, and
     in `previous` optionally vector_hash, the hash a vector was made from).
 
-    First gate: equal (mtime, size) of a file that has its vector is "unchanged" without a look
-    at the text.  Second gate: equal text hashes make a touched file "touched", which needs no
+    First gate: equal (mtime, size) of a file whose vector was made from its known text is
+    "unchanged" without a look at the text.  Second gate: equal text hashes make a touched file "touched", which needs no
     new vector.  One full outer join gives additions and deletions too."""
     has_vector = "vector_hash" in previous.columns
     old = previous.select("path", F.col("mtime_ns").alias("m0"), F.col("size").alias("s0"), F.col("hash").alias("h0"), (F.col("vector_hash") if has_vector else F.col("hash")).alias("v0"), F.lit(True).alias("was"))
@@ -24,7 +24,7 @@ def detect(current: DataFrame, previous: DataFrame, embed: bool = True, force: b
     status = (
         F.when(F.col("is_").isNull(), "deleted")
         .when(F.col("was").isNull(), "added")
-        .when(stat_same & (F.coalesce(F.col("v0").isNotNull(), F.lit(False)) | F.lit(not embed)) & F.lit(not force), "unchanged")
+        .when(stat_same & (F.coalesce(F.col("v0") == F.col("h0"), F.lit(False)) | F.lit(not embed)) & F.lit(not force), "unchanged")
         .when(F.col("h0") == F.col("h1"), "touched")
         .otherwise("edited")
     )
@@ -52,10 +52,6 @@ def survivors(rows: DataFrame, generation: Column | int, scopes: list[str] | Non
     return rows.where(seen if scopes is None else seen | ~under(F.col("path"), scopes))
 
 
-def next_generation(state: DataFrame) -> int:
-    return (state.agg(F.max("generation")).first()[0] or 0) + 1
-
-
 def index_consistency(files: DataFrame, indexed: DataFrame) -> DataFrame:
     """orphans, missing: index rows without a file and files without an index row."""
     orphans = indexed.join(files.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("orphans"))

@@ -14,16 +14,20 @@ from ..functions import vectors as V
 from ..shipping import ship
 from .ranking import ranked
 
-#: Queries per block of a batch search; a block is what travels to the tasks.
-QUERY_BLOCK = 8192
+#: Queries and rows per block of a batch search: a pair of blocks is what a task holds.
+QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+#: Queries that are broadcast at most (their vectors, eight bytes an element).
+BROADCAST_QUERIES = 50_000
 
 
 def top_dense(vectors: DataFrame, query, k: int = CANDIDATES, floor: float | None = None) -> DataFrame:
     """id, score, rank of the k rows (id, vector) with the largest dot product with `query`, 6
     digits, ties to the smaller id.  The floor applies after the k are chosen; filters on what
-    may be chosen belong on `vectors`."""
-    scored = vectors.where(F.col("vector").isNotNull()).select("id", F.round(V.dot(F.col("vector"), V.literal(query)), 6).alias("score"))
-    best = ranked(scored.orderBy(F.col("score").desc(), "id").limit(k))
+    may be chosen belong on `vectors`.  A matrix product per Arrow batch; each task keeps its k."""
+    ship(vectors.sparkSession)
+    rows = vectors.where(F.col("vector").isNotNull()).select("id", V.doubles(F.col("vector")).alias("vector"))
+    found = rows.mapInArrow(_search(np.zeros(1, np.int64), np.array([list(query)], np.float64), k), "query_id long, id long, score double")
+    best = ranked(found.select("id", "score").orderBy(F.col("score").desc(), "id").limit(k))
     return best if floor is None else best.where(F.col("score") >= floor)
 
 
@@ -31,10 +35,10 @@ def _search(ids: np.ndarray, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
-            own = np.array(batch.column(0).to_pylist(), np.int64)
+            own = batch.column(0).to_numpy()
             if not len(own):
                 continue
-            rows = np.array(batch.column(1).to_pylist(), np.float64)
+            rows = V.matrix(batch.column(1))
             scores, own = np.round(matrix @ rows.T, 6), np.broadcast_to(own, (len(ids), len(own)))
             if best is not None:
                 scores, own = np.hstack([best[0], scores]), np.hstack([best[1], own])
@@ -48,23 +52,40 @@ def _search(ids: np.ndarray, matrix: np.ndarray, k: int):
 
 
 def top_dense_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, id, score, rank for all rows of `queries` (query_id, vector): a matrix product
-    per batch of rows, the k best per query and task, then a window over those.
+    """query_id, id, score, rank for all rows of `queries` (query_id, vector): a matrix product of
+    a block of queries with a run of rows, the k best per query and task, then a window over those.
 
-    The queries go out in blocks of about `block`, each of which alone passes the driver."""
+    Queries and rows are packed into blocks as binary rows, and a run of rows meets every block of
+    queries in turn: by broadcast up to `BROADCAST_QUERIES` of them, beyond by salted runs, each of
+    which gets the blocks once.  The table is read once, and neither side passes the driver."""
     ship(vectors.sparkSession)
-    blocks = max(1, -(-queries.count() // block))
-    rows = vectors.where(F.col("vector").isNotNull()).select("id", "vector")
-    out = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").collect()
-        if not own:
-            continue
-        found = _search(np.array([r.query_id for r in own], np.int64), np.array([r.vector for r in own], np.float64), k)
-        part = rows.mapInArrow(found, "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where(F.lit(False))
+
+    def packed(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, most):
+                    part = batch.slice(start, most)
+                    ids, x = part.column(0).to_numpy(), V.matrix(part.column(1))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.large_binary()), pa.array([x.tobytes()], pa.large_binary())], names=["ids", "x"])
+
+        return run
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+                rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.FixedSizeListArray.from_arrays(np.frombuffer(x, np.float64), len(x) // 8 // len(ids))], names=["id", "vector"])
+                yield from _search(q_ids, np.frombuffer(q, np.float64).reshape(len(q_ids), -1), k)(iter([rows]))
+
+    live = lambda df, key: df.where(F.col("vector").isNotNull()).select(F.col(key).cast("long"), V.doubles(F.col("vector")).alias("vector"))
+    blocks = live(queries, "query_id").mapInArrow(packed(block), "ids binary, x binary").select(F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    runs = live(vectors, "id").mapInArrow(packed(ROW_BLOCK), "ids binary, x binary")
+    if queries.count() <= BROADCAST_QUERIES:
+        met = runs.join(F.broadcast(blocks))
+    else:
+        salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met = runs.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts))).join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), "salt")
+    out = met.select("q_ids", "q", "ids", "x").mapInArrow(scored, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -86,6 +107,9 @@ def top_codes(codes: DataFrame, query, k: int = CANDIDATES) -> DataFrame:
     return ranked(scored.orderBy(F.col("score").desc(), "id").limit(k))
 
 
-def dense_gap(vectors: DataFrame) -> str | None:
-    """Why dense search cannot answer, or None."""
-    return "no vectors are stored; dense search finds nothing" if vectors.isEmpty() else None
+def dense_gap(vectors: DataFrame | None, files: DataFrame) -> str | None:
+    """What dense search cannot find, in words, or None."""
+    if vectors is None or vectors.isEmpty():
+        return "no vectors are stored, so nothing is found by meaning; scan with a model"
+    missing = files.count() - vectors.count()
+    return f"{missing} files have no vector yet and are found by text alone; scan with a model" if missing > 0 else None

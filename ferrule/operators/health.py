@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import PROBE_CAP, PROBE_LARGE, PROBE_SOURCE_RATIO
 from ..functions import text as T
 
+#: Ranges that a percentile's values are first counted in.
+BUCKETS = 64
+
 
 def coverage(files: DataFrame) -> DataFrame:
     """extract_kind, n: most frequent first, ties by name."""
@@ -37,8 +42,9 @@ def verify_vectors(files: DataFrame, codes: DataFrame, sample: int = 1024) -> Da
 
 
 def probe(files: DataFrame, cap: int = PROBE_CAP) -> DataFrame:
-    """files, source_files, truncated, profile: what a capped look at a tree suggests."""
-    seen = files.select("path").limit(cap).agg(F.count(F.lit(1)).alias("files"), F.count(F.when(T.is_source(F.col("path")), 1)).alias("source_files"))
+    """files, source_files, truncated, profile: what a capped look at a tree suggests; of more than
+    `cap` files the first by path count, so that reruns agree."""
+    seen = files.select("path").orderBy("path").limit(cap).agg(F.count(F.lit(1)).alias("files"), F.count(F.when(T.is_source(F.col("path")), 1)).alias("source_files"))
     ratio = F.when(F.col("files") > 0, F.col("source_files") / F.col("files")).otherwise(0.0)
     code = (F.col("files") >= cap) | (F.col("files") > PROBE_LARGE) | (ratio > PROBE_SOURCE_RATIO)
     return seen.select("files", "source_files", (F.col("files") >= cap).alias("truncated"), F.when(code, "code").otherwise("content").alias("profile"))
@@ -51,14 +57,21 @@ def recall(results: DataFrame, golden: DataFrame) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, value: str, group: str, shares: tuple = (0.5, 0.95)) -> DataFrame:
-    """group, p50, ...: nearest-rank percentiles, sorted[round((n - 1) q)].
-
-    Ranks come from a window per group over counts of equal values, so a group is never one
-    array; a group's rows are pre-aggregated before they meet."""
-    from pyspark.sql import Window
-
-    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("k"))
-    order = Window.partitionBy(group).orderBy(value)
-    placed = counts.withColumn("upto", F.sum("k").over(order)).withColumn("n", F.sum("k").over(Window.partitionBy(group)))
+    """group, p50, ...: nearest-rank percentiles, sorted[round((n - 1) q)]; null values are left out.
+
+    In two passes: approximate quantiles cut each group into at most `BUCKETS` ranges of about equal
+    numbers, and exact counts per range say which one holds each rank and at which place; only
+    the values of those ranges are then counted and ordered, and a range's share of a group is small."""
+    known = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"))
+    cuts = known.groupBy("_g").agg(F.percentile_approx("_v", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("cuts"), F.count(F.lit(1)).alias("n"))
+    placed = known.join(cuts.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", "n", F.size(F.filter("cuts", lambda c: c < F.col("_v"))).alias("r"))
+    counts = placed.groupBy("_g", "r").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    ends = counts.withColumn("upto", F.sum("k").over(Window.partitionBy("_g").orderBy("r")))  # BUCKETS rows a group
     at = lambda q: F.floor((F.col("n") - 1) * F.lit(q) + 0.5)
-    return placed.groupBy(group).agg(*(F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(f"p{int(q * 100)}") for q in shares))
+    holds = lambda q: (F.col("upto") > at(q)) & (F.col("upto") - F.col("k") <= at(q))
+    wanted = reduce(DataFrame.unionAll, [ends.where(holds(q)).select(F.col("_g").alias("_h"), F.lit(i).alias("which"), F.col("r").alias("range"), (at(q) - F.col("upto") + F.col("k")).alias("place")) for i, q in enumerate(shares)])
+    inside = placed.join(wanted, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("r") == F.col("range")))
+    per_value = inside.groupBy("_g", "which", "place", "_v").agg(F.count(F.lit(1)).alias("k"))
+    running = per_value.withColumn("upto", F.sum("k").over(Window.partitionBy("_g", "which").orderBy("_v")))
+    hit = running.where(F.col("upto") > F.col("place"))
+    return hit.groupBy(F.col("_g").alias(group)).agg(*(F.min(F.when(F.col("which") == i, F.col("_v"))).alias(f"p{int(q * 100)}") for i, q in enumerate(shares)))

@@ -10,13 +10,18 @@ from ..functions import text as T
 from ..functions import vectors as V
 
 
-def directories(files: DataFrame, top: str = "") -> DataFrame:
-    """path, parent_path, name, depth of every directory above a file, down from `top`.  Each
-    file yields its ancestors; equal ones meet in a distinct with partial aggregation."""
-    up = files.select(F.explode(T.ancestors(F.col("path"))).alias("path")).distinct()
-    up = up.where((F.col("path") == top) | F.startswith(F.col("path"), F.lit(top + "/"))) if top else up
+def directories(files: DataFrame, roots: list[str] | None = None) -> DataFrame:
+    """path, parent_path, name, depth of every directory above a file; with roots, from the deepest
+    root that holds the file downwards.  Each file yields its ancestors; equal ones meet in a
+    distinct with partial aggregation.  The topmost directories have no parent here."""
+    up, clean = files.select(F.explode(T.ancestors(F.col("path"))).alias("path"), F.col("path").alias("file")), [r.rstrip("/") for r in roots or ()]
+    if roots is not None:
+        held = deepest_root(up, clean, "file").where(F.col("root").isNotNull())
+        up = held.where((F.col("path") == F.col("root")) | F.startswith(F.col("path"), F.concat("root", F.lit("/"))))
+    up = up.select("path").distinct()
     parent = F.nullif(T.parent_path(F.col("path")), F.lit(""))
-    inside = parent if not top else F.when(F.col("path") != top, parent)
+    topmost = [r for r in clean if not any(r.startswith(o + "/") for o in clean if o != r)]
+    inside = F.when(~F.col("path").isin(topmost), parent) if topmost else parent
     return up.select("path", inside.alias("parent_path"), T.file_name(F.col("path")).alias("name"), F.size(F.split("path", "/")).cast("long").alias("depth"))
 
 
@@ -52,11 +57,10 @@ def rollup_counts(files: DataFrame, embedded: DataFrame) -> DataFrame:
 def rollup_sums(files: DataFrame, vectors: DataFrame) -> DataFrame:
     """path, pos, total, n: element-wise sums of the vectors below each directory.
 
-    A directory's own files are summed first, so that only one row per directory and element
-    is spread over the ancestors: each level then adds partial sums, not files."""
-    own = files.join(vectors, "id").select("parent", F.posexplode(V.doubles(F.col("vector"))).alias("pos", "x"))
-    own = own.groupBy("parent", "pos").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
-    up = own.select(F.explode(T.ancestors(F.concat("parent", F.lit("/x")))).alias("path"), "pos", "x", "n")
+    Each task first adds its files up by directory, whole vectors at a time; so one row per
+    task, directory and element is spread over the ancestors, and each level adds partial sums."""
+    own = V.grouped_sums(files.join(vectors, "id").select("parent", "vector"), "parent")
+    up = own.select(F.explode(T.ancestors(F.concat("parent", F.lit("/x")))).alias("path"), F.posexplode("total").alias("pos", "x"), "n")
     return up.groupBy("path", "pos").agg(F.sum("x").alias("total"), F.sum("n").alias("n"))
 
 

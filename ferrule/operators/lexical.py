@@ -46,20 +46,16 @@ def _score(hits: DataFrame, stats: DataFrame, n_terms: int) -> DataFrame:
 def bm25(docs: DataFrame, query: str, weights: dict | None = None, candidates=None) -> DataFrame:
     """id, score of the rows that hold a term of the query; higher is better, 6 digits.
 
-    One narrow projection per row (token count and term frequencies) feeds both the one-row
-    statistics and the scores: no token is shuffled.  `candidates` is a filter on scored rows;
+    Each row's tokens are counted once per scan (a generator keeps filters above the counting), in
+    one scan for the one-row statistics and one for the scores: no token is shuffled.  `candidates` is a filter on scored rows;
     the statistics always cover all of `docs`.  A query without words matches nothing."""
     terms, weights = T.query_terms(query), weights or BM25_FILE_WEIGHTS
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     columns = list(weights)
-    tokens = docs.select("*", *(T.index_tokens(F.col(c)).alias(f"_t_{c}") for c in columns))
-
-    def counted(*tokens) -> F.Column:
-        per_term = lambda x: [T.count_term(x, term, prefix) for term, prefix in terms]
-        return F.struct(*(F.array(F.size(x), *per_term(x)).alias(c) for c, x in zip(columns, tokens, strict=True)))
-
-    m = tokens.withColumn("m", counted(*(F.col(f"_t_{c}") for c in columns))).drop(*(f"_t_{c}" for c in columns))
+    counted = lambda x: F.array(F.size(x), *(T.count_term(x, term, prefix) for term, prefix in terms))
+    per_row = F.struct(*(T.let(T.index_tokens(F.col(c)), counted).alias(c) for c in columns))
+    m = docs.select("*", F.explode(F.array(per_row)).alias("m"))
     sum_at = lambda i, scaled: reduce(lambda a, b: a + b, (F.get(F.col(f"m.{c}"), i) * (F.lit(float(weights[c])) if scaled else 1) for c in columns))
     flat = m.select(
         *docs.columns,
@@ -87,6 +83,36 @@ def bm25_postings(index: DataFrame, doc_lengths: DataFrame, query: str, weights:
     return _score(hits.join(doc_lengths, "id"), stats, len(terms))
 
 
+def stored(docs: DataFrame, columns: tuple = ("path", "name", "body")) -> tuple[DataFrame, DataFrame]:
+    """The index of repeated queries: postings that carry their row's n_tokens, ordered by term (a
+    frequent term is spread over several files), and the lengths they come from."""
+    long = lengths(docs, columns)
+    return ordered(postings(docs, columns).join(long, "id")), long
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Postings by ranges of (term, id): a query reads the files and row groups of its terms."""
+    return rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+
+
+def statistics(doc_lengths: DataFrame) -> DataFrame:
+    """n_docs, avg_tokens in one row."""
+    return doc_lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("n_tokens"), F.lit(0.0)).alias("avg_tokens"))
+
+
+def bm25_stored(index: DataFrame, stats: DataFrame, query: str, weights: dict | None = None) -> DataFrame:
+    """The same scores from `stored` postings and `statistics`: the terms reach the scan, only the
+    postings of the query's terms are grouped, and no other table is read."""
+    terms, weights = T.query_terms(query), weights or BM25_FILE_WEIGHTS
+    if not terms:
+        return index.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    is_term = [F.col("term").startswith(t) if prefix else F.col("term") == t for t, prefix in terms]
+    f = reduce(lambda a, b: a + b, (F.col(f"tf_{c}") * float(w) for c, w in weights.items()))
+    hits = index.where(reduce(lambda a, b: a | b, is_term)).groupBy("id", "n_tokens").agg(*(F.sum(F.when(hit, f).otherwise(0.0)).alias(f"f{i}") for i, hit in enumerate(is_term)))
+    counts = hits.agg(*(F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in range(len(terms))))
+    return _score(hits, stats.crossJoin(counts), len(terms))
+
+
 def top(scored: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """id, score, rank of the k best, ties to the smaller id; rank counts from 1."""
     from .ranking import ranked

@@ -102,7 +102,7 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array(batch.column(1).to_pylist(), np.float64)
+            rows = V.matrix(batch.column(1))
             if len(rows):
                 cluster, distance = V.nearest_centroids(rows, centroids)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster), pa.array(distance)], names=["id", "cluster", "distance"])
@@ -115,8 +115,9 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 def variance_explained(vectors: DataFrame, assigned: DataFrame) -> DataFrame:
     """variance: 1 - SSE / (sum of squared lengths - squared length of the sum / n), in [0, 1].
 
-    The element sums are aggregated as (pos, sum), the rest in one row."""
-    elements = vectors.select(F.posexplode(V.doubles(F.col("vector"))).alias("pos", "x")).groupBy("pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count(F.lit(1)).alias("n"))
+    Each task gives one row of element sums, so what is grouped by element is tasks x elements."""
+    sums = V.grouped_sums(vectors.select("vector"), squares=True)
+    elements = sums.select("n", F.posexplode(F.arrays_zip("total", "total2")).alias("pos", "z")).groupBy("pos").agg(F.sum("z.total").alias("s"), F.sum("z.total2").alias("s2"), F.sum("n").alias("n"))
     spread = elements.agg((F.sum("s2") - F.sum(F.col("s") * F.col("s") / F.col("n"))).alias("spread"))
     sse = assigned.agg(F.sum("distance").alias("sse"))
     share = F.when(F.col("spread") > 0, 1 - F.col("sse") / F.col("spread")).otherwise(0.0)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from ..functions import models
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import changes, dense, geo, health, hierarchy, lexical, ranking, topics
+from ..session import shared_dir
 from ..sources import corpus, walk
+from ..sources.store import Snapshots
 from ..streaming import ingest as stream
 from . import search as S
 from . import topics as topic_plans
@@ -123,7 +126,7 @@ def vector_of(spark: SparkSession, d: str, vec_id: int = QUERY_ID) -> list:
 
 
 def dirs_of(files: DataFrame) -> DataFrame:
-    return hierarchy.directories(files, corpus.ROOT)
+    return hierarchy.directories(files, [corpus.ROOT])
 
 
 def label_centroids(spark: SparkSession, d: str) -> np.ndarray:
@@ -271,14 +274,13 @@ def bm25_prefix(spark, d):
     return lexical.top(lexical.bm25(corpus.files(spark, d), "ach"))
 
 
-DIR_INPUT = f"dir_input AS (SELECT depth * 1000 + row_number() OVER (PARTITION BY depth ORDER BY path) AS id, path, {name_tokens('path[9:]')} AS name FROM dirs WHERE path <> '/corpus')"
+DIR_ID = "('0x' || substr(md5(path), 1, 12))::BIGINT AS id"
+DIR_INPUT = f"dir_input AS (SELECT {DIR_ID}, path, {name_tokens('path[9:]')} AS name FROM dirs WHERE path <> '/corpus')"
 
 
 def numbered_dirs(files: DataFrame) -> DataFrame:
-    """Directories with ids that any engine can make: depth * 1000 + place among equals."""
-    from pyspark.sql import Window
-
-    return dirs_of(files).withColumn("id", (F.col("depth") * 1000 + F.row_number().over(Window.partitionBy("depth").orderBy("path"))).cast("long"))
+    """Directories with ids that any engine can make: 48 bits of the path's MD5."""
+    return dirs_of(files).withColumn("id", F.conv(F.substring(F.md5(F.col("path").cast("binary")), 1, 12), 16, 10).cast("long"))
 
 
 @query("dirs_lexical", f"WITH {FILES}, {DIRS}, {DIR_INPUT}, {bm25_sql('found', 'dir_input', T.query_terms('de src1'), {'path': 1.0, 'name': 3.0})} SELECT * FROM found")
@@ -295,7 +297,7 @@ POSITIONS = """positions AS (
 CHILDREN = """children AS (
   SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM (
     SELECT n.id, round(sum(1.0::DOUBLE / (60 + position)), 9) AS score FROM positions JOIN files USING (id) JOIN numbered_dirs n ON n.path = parent GROUP BY n.id ORDER BY score DESC, n.id LIMIT 200))"""
-NUMBERED_DIRS = "numbered_dirs AS (SELECT depth * 1000 + row_number() OVER (PARTITION BY depth ORDER BY path) AS id, path FROM dirs)"
+NUMBERED_DIRS = f"numbered_dirs AS (SELECT {DIR_ID}, path FROM dirs)"
 FUSED = """arms AS (
   SELECT 0 AS kind, id, rank, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT 0, id, rank, 1.0 FROM lexical UNION ALL SELECT 1, id, rank, 0.6::DOUBLE * (2.0::DOUBLE / 2.6::DOUBLE) FROM children),
 fused AS (
@@ -372,47 +374,116 @@ def rerank_tail(spark, d):
 
 
 # --- search --------------------------------------------------------------------------------
+_indexes: dict[tuple, S.Index] = {}
+
+
+def stored(spark, d) -> S.Index:
+    """The index over the test tables as a search finds it: postings, statistics, directories and
+    their vectors written down in the shared folder, made once a session and folder.  File texts and
+    vectors are the tables themselves."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _indexes:
+        store = Snapshots(spark, f"{shared_dir(spark)}/ferrule-index-{uuid.uuid4().hex}")
+        files, vectors = corpus.files(spark, d), corpus.vectors(spark, d).select("id", "vector")
+        postings, lengths = lexical.stored(files)
+        store.stage("postings", postings)
+        store.stage("stats", lexical.statistics(lengths))
+        paths = files.select("id", "path", "parent")
+        named = hierarchy.name_text(numbered_dirs(paths), [corpus.ROOT]).join(hierarchy.rollup_counts(paths, vectors), "path")
+        dirs = store.stage("dirs", named.select("id", "path", "parent_path", "name", "depth", "file_count", "tokens"))
+        answers = dirs.where(F.col("path") != corpus.ROOT)
+        postings, lengths = lexical.stored(answers.select("id", "path", F.col("tokens").alias("name")), ("path", "name"))
+        store.stage("dir_postings", postings)
+        store.stage("dir_stats", lexical.statistics(lengths))
+        names = answers.select("path", V.literal([1.0] + [0.0] * 63).alias("vector"))  # a stand-in for a model's
+        rolled = hierarchy.rollup_vectors(paths, vectors, names, [corpus.ROOT])
+        store.stage("dir_vectors", rolled.join(dirs.select("path", "id"), "path").select("id", "vector"))
+        store.commit()
+        read = store.read
+        _indexes[key] = S.Index(files, vectors, read("dirs"), read("dir_vectors"), None, (corpus.ROOT,), read("postings"), read("stats"), read("dir_postings"), read("dir_stats"))
+    return _indexes[key]
+
+
 def index_of(spark, d, topics_too: bool = False) -> S.Index:
-    files = corpus.files(spark, d)
-    dirs = hierarchy.name_text(numbered_dirs(files.select("path")), [corpus.ROOT]).withColumn("file_count", F.lit(0).cast("long"))
-    return S.Index(files, corpus.vectors(spark, d).select("id", "vector"), dirs, None, file_topics(spark, d)[2] if topics_too else None, (corpus.ROOT,))
+    index = stored(spark, d)
+    return replace(index, file_topics=file_topics(spark, d)[2]) if topics_too else index
 
 
-HYBRID_DIRS = f"hybrid_input AS (SELECT n.id, n.path, {name_tokens('path[9:]')} AS name FROM numbered_dirs n WHERE path <> '/corpus')"
-HYBRID = f"""{FILES}, dense AS (SELECT * FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT e.vec_id AS id, round({DOT}, 6) AS score FROM embeddings e ORDER BY score DESC, id LIMIT 200)) WHERE score >= 0.1),
-{FILE_BM25}, {DIRS}, {NUMBERED_DIRS}, {HYBRID_DIRS}, {bm25_sql('dir_lexical', 'hybrid_input', TERMS, {'path': 1.0, 'name': 3.0})}, {POSITIONS}, {CHILDREN},
+@query(
+    "stored_index",
+    f"""WITH {FILES}, t AS (SELECT id, unnest(list_distinct({tokens('path')} || {tokens('name')} || {tokens('body')})) AS term, len({tokens('path')}) + len({tokens('name')}) + len({tokens('body')}) AS n FROM files),
+a AS (SELECT unnest({ANCESTORS}) AS path FROM files)
+SELECT count(*) AS postings, (SELECT count(*) FROM files) AS n_docs, (SELECT round(avg(len({tokens('path')}) + len({tokens('name')}) + len({tokens('body')})), 6) FROM files) AS avg_tokens, (SELECT count(DISTINCT path) FROM a WHERE path <> '/corpus') AS dir_vectors FROM t""",
+)
+def stored_index(spark, d):
+    """Builds the index anew and says what it holds."""
+    _indexes.pop((spark.sparkContext.applicationId, d), None)
+    index = stored(spark, d)
+    found = index.postings.agg(F.count(F.lit(1)).alias("postings")).crossJoin(index.stats.select("n_docs", F.round("avg_tokens", 6).alias("avg_tokens")))
+    return found.crossJoin(index.dir_vectors.agg(F.count(F.lit(1)).alias("dir_vectors")))
+
+
+DIR_IN_SCOPE = f"({IN_SCOPE} OR path IN ({listed(SCOPES)}))"
+DIR_DENSE_VECTORS = f"""da AS (SELECT unnest({ANCESTORS}) AS path, embedding FROM files JOIN embeddings ON vec_id = id),
+dp AS (SELECT path, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM da),
+ds AS (SELECT path, pos, sum(x) AS total, count(*) AS n FROM dp GROUP BY path, pos),
+dm AS (SELECT path, list(total / n ORDER BY pos) AS mean FROM ds GROUP BY path),
+dw AS (SELECT *, sqrt(list_dot_product(mean, mean)) AS coherence FROM dm),
+dx AS (SELECT path, list_transform(mean, lambda m, i: (1 - 0.5::DOUBLE * least(1.0, coherence)) * (CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) + 0.5::DOUBLE * least(1.0, coherence) * m / coherence) AS x FROM dw),
+dir_vectors AS (
+  SELECT n.id, n.path, CASE WHEN x IS NULL THEN list_transform(range(1, 65), lambda i: CASE WHEN i = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) ELSE list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) END AS vec
+  FROM numbered_dirs n LEFT JOIN dx USING (path) WHERE n.path <> '/corpus')"""
+QUERY_VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)"
+
+
+def hybrid_sql(scoped: bool) -> str:
+    """CTEs up to `fused` (kind, id, score, best, fused_rank) of a search, whole or within `SCOPES`."""
+    here, dirs_here = (IN_SCOPE, DIR_IN_SCOPE) if scoped else ("TRUE", "TRUE")
+    return f"""{FILES}, dense AS (SELECT * FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM (
+  SELECT e.vec_id AS id, round({DOT}, 6) AS score FROM embeddings e {"JOIN files ON files.id = e.vec_id" if scoped else ""} WHERE {here} ORDER BY score DESC, id LIMIT 200)) WHERE score >= 0.1),
+{bm25_sql('lexical', 'files', TERMS, BM25_FILE_WEIGHTS, here)}, {DIRS}, {NUMBERED_DIRS},
+hybrid_input AS (SELECT n.id, n.path, {name_tokens('path[9:]')} AS name FROM numbered_dirs n WHERE path <> '/corpus'), {bm25_sql('dir_lexical', 'hybrid_input', TERMS, {'path': 1.0, 'name': 3.0}, dirs_here)},
+{DIR_DENSE_VECTORS},
+dir_dense AS (SELECT * FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM (
+  SELECT id, round(list_dot_product(vec, {QUERY_VECTOR}), 6) AS score FROM dir_vectors WHERE {dirs_here} ORDER BY score DESC, id LIMIT 200)) WHERE score >= 0.1),
+{POSITIONS}, {CHILDREN},
 arms AS (
-  SELECT 0 AS kind, id, rank, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT 0, id, rank, 1.0 FROM lexical UNION ALL SELECT 1, id, rank, 2.0::DOUBLE / 2.6::DOUBLE FROM dir_lexical
+  SELECT 0 AS kind, id, rank, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT 0, id, rank, 1.0 FROM lexical UNION ALL SELECT 1, id, rank, 2.0::DOUBLE / 2.6::DOUBLE FROM dir_lexical UNION ALL SELECT 1, id, rank, 2.0::DOUBLE / 2.6::DOUBLE FROM dir_dense
   UNION ALL SELECT 1, id, rank, 0.6::DOUBLE * (2.0::DOUBLE / 2.6::DOUBLE) FROM children WHERE id NOT IN (SELECT id FROM numbered_dirs WHERE path = '/corpus')),
 fused AS (
-  SELECT kind, id, score, row_number() OVER (ORDER BY score DESC, best, kind, id)::INTEGER AS fused_rank FROM (
-    SELECT kind, id, round(sum(w / (60 + rank)), 9) AS score, min(rank) AS best FROM arms GROUP BY kind, id)), {QUOTA}"""
+  SELECT kind, id, score, best, row_number() OVER (ORDER BY score DESC, best, kind, id)::INTEGER AS fused_rank FROM (
+    SELECT kind, id, round(sum(w / (60 + rank)), 9) AS score, min(rank) AS best FROM arms GROUP BY kind, id)),
+embedded AS (SELECT unnest({ANCESTORS}) AS path, vec_id FROM files LEFT JOIN embeddings ON vec_id = id),
+counted AS (SELECT path, count(vec_id) AS file_count FROM embedded GROUP BY path)"""
 
 
-@query(
-    "hybrid_search",
-    f"""WITH {HYBRID}
-SELECT position, c.kind, c.id, coalesce(files.path, n.path) AS path, c.score, dense.score AS cosine, dense.rank AS dense_rank, coalesce(l.rank, dl.rank) AS lexical_rank
-FROM chosen c LEFT JOIN files ON c.kind = 0 AND files.id = c.id LEFT JOIN numbered_dirs n ON c.kind = 1 AND n.id = c.id
-LEFT JOIN dense ON c.kind = 0 AND dense.id = c.id LEFT JOIN lexical l ON c.kind = 0 AND l.id = c.id LEFT JOIN dir_lexical dl ON c.kind = 1 AND dl.id = c.id
-WHERE position <= 40 AND (c.kind = 1 OR files.path IS NOT NULL)""",
-)
+SHOWN = """FROM chosen c LEFT JOIN files ON c.kind = 0 AND files.id = c.id LEFT JOIN numbered_dirs n ON c.kind = 1 AND n.id = c.id LEFT JOIN counted k ON k.path = n.path
+LEFT JOIN dense ON c.kind = 0 AND dense.id = c.id LEFT JOIN dir_dense dd ON c.kind = 1 AND dd.id = c.id LEFT JOIN lexical l ON c.kind = 0 AND l.id = c.id LEFT JOIN dir_lexical dl ON c.kind = 1 AND dl.id = c.id
+WHERE position <= 40 AND (c.kind = 1 OR files.path IS NOT NULL)"""
+RANKS = "coalesce(dense.score, dd.score) AS cosine, coalesce(dense.rank, dd.rank) AS dense_rank, coalesce(l.rank, dl.rank) AS lexical_rank, file_count"
+EXPLAIN = """CASE WHEN dense_rank IS NOT NULL AND lexical_rank IS NOT NULL THEN 'by meaning (#' || dense_rank || ') and text (#' || lexical_rank || ')' WHEN dense_rank IS NOT NULL THEN 'by meaning (#' || dense_rank || ')'
+WHEN lexical_rank IS NOT NULL THEN 'by text (#' || lexical_rank || ')' ELSE 'contents of this directory' END AS explain"""
+
+
+@query("hybrid_search", f"WITH {hybrid_sql(False)}, {QUOTA} SELECT *, {EXPLAIN} FROM (SELECT position, c.kind, c.id, coalesce(files.path, n.path) AS path, c.score, {RANKS} {SHOWN})")
 def hybrid_search(spark, d):
     found = S.search(index_of(spark, d), S.SearchRequest(QUERY_TEXT, floor=0.1, query_vector=tuple(vector_of(spark, d))))
-    return found.select("position", "kind", "id", "path", "score", "cosine", "dense_rank", "lexical_rank")
+    return found.select("position", "kind", "id", "path", "score", "cosine", "dense_rank", "lexical_rank", "file_count", "explain")
 
 
-@query(
-    "search_lines",
-    f"""WITH {HYBRID}
-SELECT position, CASE WHEN c.kind = 1 THEN 'directory:' || n.path ELSE files.path END AS line
-FROM chosen c LEFT JOIN files ON c.kind = 0 AND files.id = c.id LEFT JOIN numbered_dirs n ON c.kind = 1 AND n.id = c.id WHERE position <= 40 AND (c.kind = 1 OR files.path IS NOT NULL)""",
-)
+@query("search_lines", f"WITH {hybrid_sql(False)}, {QUOTA} SELECT position, CASE WHEN c.kind = 1 THEN 'directory:' || n.path ELSE files.path END AS line {SHOWN}")
 def search_lines(spark, d):
     found = S.search(index_of(spark, d), S.SearchRequest(QUERY_TEXT, floor=0.1, query_vector=tuple(vector_of(spark, d))))
     return found.select("position", T.display_path(F.col("kind"), F.col("path")).alias("line"))
 
 
+@query("bm25_stored", f"WITH {FILES}, {FILE_BM25} SELECT * FROM lexical")
+def bm25_stored(spark, d):
+    """The scores of `bm25_topk` from the stored index: no text is read."""
+    index = index_of(spark, d)
+    return lexical.top(lexical.bm25_stored(index.postings, index.stats, QUERY_TEXT))
+
+
 @query(
     "search_topic_only",
     f"""WITH {FILES}, {NUMBERED}, m AS (SELECT t.id, t.distance FROM file_topics t WHERE topic = 2 ORDER BY distance, id LIMIT 40),
@@ -524,12 +595,23 @@ def index_status(spark, d):
     return health.status(files, corpus.vectors(spark, d), dirs_of(files))
 
 
+ODD_VECTORS = "CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) WHEN vec_id % 40 = 1 THEN list_transform(embedding, lambda x: 2.0::DOUBLE * x) ELSE embedding::DOUBLE[] END"
+
+
 @query(
     "verify_vectors",
-    "SELECT count(*) AS stored, count(*) FILTER (vec_id NOT IN (SELECT doc_id FROM documents)) AS orphaned, 0::BIGINT AS dead, 0::BIGINT AS out_of_range, 1.0::DOUBLE AS unit FROM embeddings",
+    f"""WITH v AS (SELECT vec_id AS id, {ODD_VECTORS} AS v FROM embeddings), p AS (SELECT id, v, list_max(list_transform(v, lambda x: abs(x))) AS peak FROM v),
+c AS (SELECT id, CASE WHEN peak > 1e-12 THEN peak / 127.0 ELSE 0.0 END AS scale, CASE WHEN peak > 1e-12 THEN list_transform(v, lambda x: greatest(-127, least(127, round(x * 127.0::DOUBLE / peak)))::INT) ELSE [] END AS q FROM p),
+m AS (SELECT *, sqrt(coalesce(list_sum(list_transform(q, lambda x: (x * x)::DOUBLE)), 0)) * scale AS length FROM c)
+SELECT count(*) AS stored, count(*) FILTER (id NOT IN (SELECT doc_id FROM documents)) AS orphaned, count(*) FILTER (scale = 0) AS dead, count(*) FILTER (len(list_filter(q, lambda x: abs(x) > 127)) > 0) AS out_of_range,
+avg((abs(length - 1) < 0.02)::INT::DOUBLE) FILTER (scale <> 0) AS unit FROM m""",
 )
 def verify_vectors(spark, d):
-    return health.verify_vectors(corpus.files(spark, d, ("id",)), dense.store_codes(corpus.vectors(spark, d)))
+    """Over vectors some of which are made dead or too long."""
+    x = V.doubles(F.col("vector"))
+    odd = F.when(F.col("id") % 50 == 0, F.transform(x, lambda v: v * 0)).when(F.col("id") % 40 == 1, F.transform(x, lambda v: v * 2)).otherwise(x)
+    codes = dense.store_codes(corpus.vectors(spark, d).select("id", odd.alias("vector")))
+    return health.verify_vectors(corpus.files(spark, d, ("id",)), codes, sample=1 << 40)
 
 
 @query(
@@ -648,11 +730,14 @@ def topic_label_tfidf(spark, d):
 
 @query(
     "topic_staleness",
-    "SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 9 = 0) AS added, (SELECT count(*) FROM embeddings WHERE vec_id % 9 = 1) AS removed, true AS model_mismatch",
+    """SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 9 = 0 AND vec_id % 9 <> 1) AS added, (SELECT count(*) FROM embeddings WHERE vec_id % 9 = 1) AS removed,
+(SELECT 'hashing-' || max(len(embedding)) FROM embeddings) <> (SELECT 'hashing-' || count(DISTINCT vec_id % 128) FROM embeddings) AS model_mismatch""",
 )
 def topic_staleness(spark, d):
-    ids = corpus.vectors(spark, d).select("id")
-    return topics.staleness(ids.where("id % 9 <> 0"), ids.where("id % 9 <> 1"), "hashing-64", "hashing-128")
+    rows = corpus.vectors(spark, d)
+    ids = rows.select("id")
+    built, now = rows.select(F.concat(F.lit("hashing-"), F.max(F.size("vector")).cast("string")), F.concat(F.lit("hashing-"), F.count_distinct(F.col("id") % 128).cast("string"))).first()
+    return topics.staleness(ids.where("id % 9 <> 0"), ids.where("id % 9 <> 1"), built, now)
 
 
 @query("emeans_train")
@@ -673,8 +758,7 @@ def binary_sniff(spark, d):
 
 @query("html_text", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 def html_text(spark, d):
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
-    return corpus.read_table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("text"))
+    return corpus.read_table(spark, d, "pages").select("page_id", T.markup_text(F.col("html")).alias("text"))
 
 
 @query(
@@ -705,8 +789,7 @@ def geo_nearest(spark, d):
 # --- streaming -----------------------------------------------------------------------------
 @query("streaming_ingest", f"WITH {FILES}, n AS (SELECT id, path, {normalized('body', 1024)} AS body FROM files) SELECT id, path, body, sha256(body)[1:32] AS hash, substring(body, 1, 300) AS snippet FROM n")
 def streaming_ingest(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ferrule-stream-")
-    target = f"{base.rstrip('/')}/ferrule-stream-{np.random.default_rng().integers(1 << 62):x}"
+    target = f"{shared_dir(spark)}/ferrule-stream-{uuid.uuid4().hex}"
     source = corpus.read_table(spark, d, "documents").schema
     rows = stream.stream_files(spark, f"{d}/documents.parquet", source)
     files = rows.select(F.col("doc_id").alias("id"), corpus.corpus_path().alias("path"), "text")
@@ -773,14 +856,46 @@ def roots_without_nesting(spark, d):
     return spark.createDataFrame([(r,) for r in kept], "root string")
 
 
-@query("embed_files")
+@query(
+    "embed_files",
+    f"""WITH {FILES}, t AS (SELECT id, path[9:] AS rel, {normalized('body', 1024)} AS b FROM files),
+e AS (SELECT id, rel || chr(10) || {name_tokens('rel')} || CASE WHEN length(b) > 0 THEN chr(10) || chr(10) || b ELSE '' END AS text FROM t),
+w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM e),
+g AS (SELECT id, w AS gram, 1.0::DOUBLE AS weight FROM w UNION ALL SELECT id, unnest(list_transform(range(1, length(w) + 1), lambda i: substring(' ' || w || ' ', i, 3))), 0.3::DOUBLE FROM w),
+h AS (SELECT id, ('0x' || substr(md5(gram), 1, 15))::BIGINT AS h, weight FROM g),
+s AS (SELECT id, (h % 64)::INT AS pos, sum(CASE WHEN h // 64 % 2 = 1 THEN weight ELSE -weight END) AS x FROM h GROUP BY ALL),
+n AS (SELECT id, sqrt(sum(x * x)) AS n FROM s GROUP BY id),
+v AS (SELECT files.id, p.pos, coalesce(s.x, 0.0) / n.n AS x FROM files CROSS JOIN (SELECT unnest(range(0, 64))::INT AS pos) p JOIN n ON n.id = files.id LEFT JOIN s ON s.id = files.id AND s.pos = p.pos)
+SELECT id, string_agg(round(x * 100000)::BIGINT::VARCHAR, ',' ORDER BY pos) AS vector FROM v GROUP BY id""",
+)
 def embed_files(spark, d):
     rel = T.relative_path(F.col("path"), F.lit(corpus.ROOT))
     rows = corpus.files(spark, d).select("id", T.embed_text(rel, T.name_tokens(rel), T.normalize_ws(F.col("body"), PROFILE_TOKENS["content"] * CHARS_PER_TOKEN)).alias("text"))
-    return models.embed(rows, models.EMBEDDERS["hashing-64"], "id", "text").select("id", F.round(V.norm(F.col("vector")), 9).alias("norm"), "vector")
+    made = models.embed(rows, models.EMBEDDERS["hashing-64"], "id", "text")
+    return made.select("id", F.array_join(F.transform("vector", lambda x: F.round(x * 100000).cast("long").cast("string")), ",").alias("vector"))
 
 
-@query("hybrid_search_reranked")
+@query(
+    "hybrid_search_reranked",
+    f"""WITH {hybrid_sql(True)},
+pool AS (SELECT *, row_number() OVER (ORDER BY rerank DESC, fused_rank)::INTEGER AS pool_rank FROM (
+  SELECT f.kind, f.id, f.score, fused_rank, ({" + ".join(f"CASE WHEN contains(lower(CASE WHEN f.kind = 1 THEN n.path ELSE files.name || chr(10) || substring(files.body, 1, 2000) END), '{w}') THEN {len(w)} ELSE 0 END" for w in sorted(set(QUERY_TEXT.split())))})::DOUBLE AS rerank
+  FROM fused f LEFT JOIN files ON f.kind = 0 AND files.id = f.id LEFT JOIN numbered_dirs n ON f.kind = 1 AND n.id = f.id WHERE fused_rank <= 80)),
+held AS (SELECT *, (kind = 1 AND row_number() OVER (PARTITION BY kind ORDER BY pool_rank) > 14)::INT AS held FROM pool),
+chosen AS (SELECT *, row_number() OVER (ORDER BY held, pool_rank)::INTEGER AS position FROM held)
+SELECT position, c.kind, c.id, coalesce(files.path, n.path) AS path, c.score, rerank, {RANKS} {SHOWN}""",
+)
 def hybrid_search_reranked(spark, d):
     request = S.SearchRequest(QUERY_TEXT, floor=0.1, query_vector=tuple(vector_of(spark, d)), scopes=tuple(SCOPES))
-    return S.search(index_of(spark, d), request, models.SubstringReranker())
+    found = S.search(index_of(spark, d), request, models.SubstringReranker())
+    return found.select("position", "kind", "id", "path", "score", "rerank", "cosine", "dense_rank", "lexical_rank", "file_count")
+
+
+@query(
+    "xml_text",
+    """SELECT doc_id, trim(regexp_replace(substring(text, 1, 400), '[^A-Za-z ]', '', 'g')) || CASE WHEN trim(regexp_replace(substring(text, 1, 400), '[^A-Za-z ]', '', 'g')) = '' THEN '' ELSE ' ' END || lang || ' ' || chr(10) || 'end ' AS text FROM documents""",
+)
+def xml_text(spark, d):
+    run = F.trim(F.regexp_replace(F.substring("text", 1, 400), "[^A-Za-z ]", ""))
+    xml = F.concat(F.lit("<d xmlns:w='w'><w:p><w:t>"), run, F.lit("</w:t><w:t>"), "lang", F.lit("</w:t></w:p>end</d>"))
+    return walk.xml_texts(corpus.read_table(spark, d, "documents").select("doc_id", xml.alias("xml")), "doc_id", "xml")

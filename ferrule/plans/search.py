@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,11 @@ class SearchRequest:
 @dataclass
 class Index:
     """Tables of an index.  files: id, path, name, parent, body; vectors: id, vector; dirs: id,
-    path, tokens, file_count; dir_vectors: id, vector; file_topics: id, topic, distance."""
+    path, tokens, file_count; dir_vectors: id, vector; file_topics: id, topic, distance.
+
+    With stored postings and statistics (see `lexical.stored`), no text is read but that of the rows
+    shown; without them, texts are counted for the query at hand.  With codes, files are ranked by
+    the int8 store."""
 
     files: DataFrame
     vectors: DataFrame
@@ -42,6 +47,11 @@ class Index:
     dir_vectors: DataFrame | None = None
     file_topics: DataFrame | None = None
     roots: tuple = ()
+    postings: DataFrame | None = None
+    stats: DataFrame | None = None
+    dir_postings: DataFrame | None = None
+    dir_stats: DataFrame | None = None
+    codes: DataFrame | None = None
 
 
 def looks_like_path(word: str) -> bool:
@@ -56,6 +66,18 @@ def split_scope(words: list[str], exists=os.path.isdir) -> tuple[list[str], str]
     return words[:n], " ".join(words[n:])
 
 
+def at_once(lists: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Ranked lists (id, score, rank) as local relations, all of them in one job."""
+    if not lists:
+        return {}
+    tagged = [df.select(F.lit(name).alias("list"), "id", "score", "rank") for name, df in lists.items()]
+    rows: dict[str, list] = {name: [] for name in lists}
+    for r in reduce(DataFrame.unionAll, tagged).collect():
+        rows[r.list].append((r.id, r.score, r["rank"]))
+    spark = tagged[0].sparkSession
+    return {name: spark.createDataFrame(found, "id long, score double, rank int") for name, found in rows.items()}
+
+
 def local(df: DataFrame) -> DataFrame:
     """Rows of a ranked list as a local relation.  Lists are cut to a few hundred rows before
     they come here, so that what is read for them afterwards can be asked for by id."""
@@ -96,10 +118,13 @@ def arms(index: Index, request: SearchRequest) -> dict[str, DataFrame]:
         return rows.join(in_topic, "id", "left_semi") if members and in_topic is not None else rows
 
     if request.mode != "lexical" and request.query_vector is not None:
-        vectors = index.vectors
+        vectors = index.vectors if index.codes is None else index.codes
         if request.scopes or in_topic is not None:
             vectors = vectors.join(allowed(index.files.select("id", "path"), True).select("id"), "id", "left_semi")
-        out["file_dense"] = dense.top_dense(vectors, request.query_vector, floor=request.floor)
+        if index.codes is None:
+            out["file_dense"] = dense.top_dense(vectors, request.query_vector, floor=request.floor)
+        else:
+            out["file_dense"] = dense.top_codes(vectors, request.query_vector).where(F.col("score") >= request.floor)
         if request.topic is None and index.dir_vectors is not None:
             dir_vectors = index.dir_vectors
             if request.scopes:
@@ -107,18 +132,27 @@ def arms(index: Index, request: SearchRequest) -> dict[str, DataFrame]:
                 dir_vectors = dir_vectors.join(index.dirs.where(scope | self_too).select("id"), "id", "left_semi")
             out["dir_dense"] = dense.top_dense(dir_vectors, request.query_vector, floor=request.floor)
     if request.mode != "dense" and T.query_terms(request.text):
-        hits = lexical.bm25(index.files, request.text, candidates=scope)
+        if index.postings is not None:
+            hits = lexical.bm25_stored(index.postings, index.stats, request.text)
+            hits = hits.join(index.files.where(scope).select("id"), "id", "left_semi") if request.scopes else hits
+        else:
+            hits = lexical.bm25(index.files, request.text, candidates=scope)
         out["file_lexical"] = lexical.top(hits.join(in_topic, "id", "left_semi") if in_topic is not None else hits)
         if request.topic is None:
             self_too = F.col("path").isin(*(s.rstrip("/") for s in request.scopes)) if request.scopes else F.lit(False)
-            named = index.dirs.where(~F.col("path").isin(*index.roots)) if index.roots else index.dirs
-            out["dir_lexical"] = lexical.top(lexical.bm25(named.select("id", "path", F.col("tokens").alias("name")), request.text, BM25_DIR_WEIGHTS, candidates=scope | self_too))
+            if index.dir_postings is not None:
+                hits = lexical.bm25_stored(index.dir_postings, index.dir_stats, request.text, BM25_DIR_WEIGHTS)
+                hits = hits.join(index.dirs.where(scope | self_too).select("id"), "id", "left_semi") if request.scopes else hits
+            else:
+                named = index.dirs.where(~F.col("path").isin(*index.roots)) if index.roots else index.dirs
+                hits = lexical.bm25(named.select("id", "path", F.col("tokens").alias("name")), request.text, BM25_DIR_WEIGHTS, candidates=scope | self_too)
+            out["dir_lexical"] = lexical.top(hits)
     return out
 
 
 def search(index: Index, request: SearchRequest, reranker=None) -> DataFrame:
     """position, kind, id, path, score, cosine, dense_rank, lexical_rank, rerank, file_count,
-    topic_distance, snippet, explain; see `schemas.RESULTS`."""
+    topic_distance, snippet, explain of the rows shown."""
     none = lambda kind: F.lit(None).cast(kind)
     if not request.text.strip():
         if request.topic is None:
@@ -128,7 +162,7 @@ def search(index: Index, request: SearchRequest, reranker=None) -> DataFrame:
     found = arms(index, request)
     empty = index.files.select("id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).where(F.lit(False))
     kinds = {name: 0 if name.startswith("file") else 1 for name in ranking.ARM_WEIGHTS}
-    found = {name: local(df) for name, df in found.items()}
+    found = at_once(found)
     if request.topic is None:
         positions = local(ranking.merged_files(found.get("file_dense", empty), found.get("file_lexical", empty)).where(F.col("position") <= 2 * CANDIDATES))
         parents = by_id(index.files, positions.withColumn("kind", F.lit(0)), 0).select("id", "parent").join(index.dirs.select(F.col("path").alias("parent"), F.col("id").alias("parent_id")), "parent").select("id", "parent_id")

@@ -33,8 +33,7 @@ def build_stored(spark: SparkSession, folder: str, roots: list[str], **options)
         raise ValueError("the index has no vectors; scan with a model first")
     with store.lock():
         named, file_topics, variance = build(vectors.select("id", "vector"), files.select("id", "path"), roots, **options)
-        store.write("file_topics", file_topics)
-        out = store.write("topics", named)
-        store.set_meta("topics_model_id", store.get_meta("model_id"))
-        store.set_meta("topics_variance", str(variance))
+        store.stage("file_topics", file_topics)
+        out = store.stage("topics", named)
+        store.commit({"topics_model_id": store.get_meta("model_id"), "topics_variance": str(variance)})
     return out

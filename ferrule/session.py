@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +23,16 @@ def get_session(app: str = "ferrule", cores: str = "*", shuffle_partitions: int
     for k, v in settings.items():
         builder = builder.config(k, str(v).lower() if isinstance(v, bool) else v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (`spark.checkpoint.dir`).  Where it is
+    unset, a session of one machine gets a local one; on a cluster that would lose data, so it is an
+    error there."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="ferrule-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
