@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +76,15 @@ def at_once(lists: dict[str, DataFrame]) -> dict[str, DataFrame]:
     for r in reduce(DataFrame.unionAll, tagged).collect():
         rows[r.list].append((r.id, r.score, r["rank"]))
     spark = tagged[0].sparkSession
-    return {name: spark.createDataFrame(found, "id long, score double, rank int") for name, found in rows.items()}
+    kinds = {"id": pa.int64(), "score": pa.float64(), "rank": pa.int32()}
+    return {name: spark.createDataFrame(pa.table([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))) for name, found in rows.items()}
 
 
 def local(df: DataFrame) -> DataFrame:
-    """Rows of a ranked list as a local relation.  Lists are cut to a few hundred rows before
-    they come here, so that what is read for them afterwards can be asked for by id."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """Rows of a ranked list as a local relation, which the optimiser evaluates without a job where
+    it can.  Lists are cut to a few hundred rows before they come here, so that what is read for
+    them afterwards can be asked for by id."""
+    return df.sparkSession.createDataFrame(df.toArrow())
 
 
 def by_id(rows: DataFrame, keys: DataFrame, kind: int) -> DataFrame:
