@@ -172,7 +172,10 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
     joined = units.alias("u").join(side.alias("s"), F.col("u.source").eqNullSafe(F.col("s.source")), "inner").select(
         *(F.col(f"u.{c}").alias(c) for c in (*_KEY, "n")), "rank", "n_units", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), expected - whole).alias("pi")
     )
-    return cube_sample(joined).withColumn("copies", (F.col("whole") + F.col("pi")).cast("long")).select(*_KEY, "n", "source_size", "target", "copies")
+    settled = cube_sample(joined)  # written down with all columns
+    remove(units)
+    remove(rated)
+    return settled.withColumn("copies", (F.col("whole") + F.col("pi")).cast("long")).select(*_KEY, "n", "source_size", "target", "copies")
 
 
 def mix_documents(documents: DataFrame) -> DataFrame:
@@ -208,7 +211,9 @@ def mix_documents(documents: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(materialize(sized(read_table(spark, sf_dir, "documents")), "sizes"))
+    sizes = materialize(sized(read_table(spark, sf_dir, "documents")), "sizes")
+    mixed = mix(sizes)
+    remove(sizes)
     rows = mixed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     times = F.floor(F.col("copies") / F.col("n")) + (F.col("row") <= F.col("copies") % F.col("n")).cast("long")
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), "source")

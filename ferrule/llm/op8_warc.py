@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, local_uri, map_arrow, materialize, new_path, read_table
+from .common import byte_slices, local_uri, map_arrow, materialize, new_path, read_table, remove
 
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -141,7 +141,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "bytes"])
 
-    return materialize(map_arrow(rows, run, "path string, bytes long"), "manifest")
+    manifest = materialize(map_arrow(rows, run, "path string, bytes long"), "manifest")
+    remove(first)
+    return manifest
 
 
 def _header(stream, offset: int, size: int) -> tuple[dict, int, int] | None:
@@ -255,11 +257,15 @@ def entries(links: DataFrame, most_ranges: int) -> DataFrame:
     reach = 1
     while reach < most_ranges:
         step = known.join(jumps, ["path", "offset"]).select("path", F.col("exit").alias("offset"))
-        known = materialize(known.unionByName(step).distinct(), "entries")
+        before, known = known, materialize(known.unionByName(step).distinct(), "entries")
+        if reach > 1:  # the first ones belong to the caller
+            remove(before)
         reach *= 2
         if reach < most_ranges:
             ahead = jumps.select("path", F.col("offset").alias("exit"), F.col("exit").alias("farther"))
-            jumps = materialize(jumps.join(ahead, ["path", "exit"]).select("path", "offset", F.col("farther").alias("exit")), "jumps")
+            shorter, jumps = jumps, materialize(jumps.join(ahead, ["path", "exit"]).select("path", "offset", F.col("farther").alias("exit")), "jumps")
+            if reach > 2:
+                remove(shorter)
     return known
 
 
@@ -278,7 +284,8 @@ def read_archives(manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYT
     broken = manifest.where("bytes > 0").join(complete, "path", "left_anti")
     if (bad := broken.first()) is not None:
         raise ValueError(f"the record chain of {bad.path} does not reach its end")
-    inside = spread(starts.join(manifest, "path").where("offset < bytes"), range_count(manifest, range_bytes))
+    inside = spread(materialize(starts.join(manifest, "path").where("offset < bytes"), "inside"), range_count(manifest, range_bytes))
+    remove(links)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = _open_fs(uri)
