@@ -42,6 +42,8 @@ RANGE_POSTINGS, BLOCK, SLICE = 2_000_000, 2048, 1 << 20
 #: all texts from which a shingle is frequent.  At most `FREQUENT_LIST` of them, eight bytes each,
 #: go out with the tasks; any others pass through their hash ranges like rare ones.
 SUMMARY, COUNTED, FREQUENT_SHARE, FREQUENT_LIST = 1 << 18, 1 << 20, 1 / 512, 1 << 18
+#: Pairs a task holds before it keeps each set's nearest alone.
+HELD_PAIRS = 1 << 17
 #: All pairs are asked for once those left are at most this many per set, once a round links
 #: less than a hundredth of the sets, or after `ROUNDS`.
 PAIRS_PER_SET, ROUNDS = 8, 4
@@ -382,8 +384,20 @@ def tree_pairs(n: np.ndarray, vec: np.ndarray, component: np.ndarray, side: np.n
     cuts = np.arange(0, len(n), NODE)
     high, low_n, high_n = np.maximum.reduceat(vec, cuts), np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts)
     found: list = []
+    waiting = 0
     two_sides = side.min() != side.max()
 
+    def nearest_of(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that are among the `nearest` of one of their ends; what is left out here can
+        be among them in no larger set of pairs, so pruning early loses nothing."""
+        a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+        share = np.concatenate([np.minimum(vec[a[i : i + 16_384]], vec[b[i : i + 16_384]]).sum(1) for i in range(0, len(a), 16_384)]) / (n[a] + n[b])
+        ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+        by_end = np.lexsort((b[pair], a[pair], -share[pair], ends))
+        place = np.arange(len(by_end)) - np.searchsorted(ends[by_end], ends[by_end])
+        keep = np.unique(pair[by_end[place < nearest]])
+        return a[keep], b[keep]
+
     def may(i: np.ndarray, j: np.ndarray, top: np.ndarray, least_n: np.ndarray, most_n: np.ndarray) -> np.ndarray:
         fits = (most_n[i] * 100 >= PERCENT * least_n[j]) & (most_n[j] * 100 >= PERCENT * least_n[i])
         i, j = i[fits], j[fits]
@@ -403,16 +417,12 @@ def tree_pairs(n: np.ndarray, vec: np.ndarray, component: np.ndarray, side: np.n
             a, b = may(a[ok], b[ok], vec, n, n)
             if len(a):
                 found.append((a, b))
+                waiting += len(a)
+            if nearest is not None and waiting > HELD_PAIRS:
+                found, waiting = [nearest_of(found)], 0
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-    if nearest is not None:
-        share = np.concatenate([np.minimum(vec[a[i : i + 65_536]], vec[b[i : i + 65_536]]).sum(1) for i in range(0, len(a), 65_536)]) / (n[a] + n[b])
-        ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-        by_end = np.lexsort((pair, -share[pair], ends))
-        place = np.arange(len(by_end)) - np.searchsorted(ends[by_end], ends[by_end])
-        keep = np.unique(pair[by_end[place < nearest]])
-        a, b = a[keep], b[keep]
+    a, b = nearest_of(found) if nearest is not None else (np.concatenate(c) for c in zip(*found, strict=True))
     return order[a], order[b]
 
 

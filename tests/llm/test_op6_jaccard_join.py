@@ -150,3 +150,14 @@ def test_deduplicate_among_clashing_names(spark, columns):
     df = fx.documents(spark).select("doc_id", "text", *(F.lit(1).alias(c) for c in columns))
     kept = op.deduplicate(df)
     assert kept.columns == df.columns and kept.count() == 10
+
+
+def test_nearest_pairs_do_not_depend_on_pruning(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 120).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 120 - k % 9], rng.integers(0, 2**63, k % 9).astype(np.uint64)])) for k in range(300)]
+    n, vec = np.array([len(s) for s in sets]), op.coordinates(np.array([op.count_vector(s) for s in sets]))
+    pairs = lambda: set(zip(*(x.tolist() for x in op.tree_pairs(n, vec, np.arange(len(sets)), np.zeros(len(sets), int), 2)), strict=True))
+    whole = pairs()
+    monkeypatch.setattr(op, "HELD_PAIRS", 50)
+    assert pairs() == whole and 150 <= len(whole) <= 600
