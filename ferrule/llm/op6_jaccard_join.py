@@ -12,11 +12,12 @@
    hashed into groups, the counts as coordinates.  The sum of coordinate minima bounds the
    overlap of two sets, and of two boxes of an R-tree; pairs whose bound reaches the
    threshold are verified on the shingles.
-5. What links is one component, so the tree first gives each set its nearest points alone, twice as
-   many each round; at last it joins all sets of different components that are left.  Groups above
-   a bound are cut into blocks, so no task holds a whole large group.
+5. What links is one component, so a group first asks only for pairs with a hub, then for the
+   nearest points of each set in the tree; at last the tree joins all sets of different
+   components that are left.  Groups above a bound are cut into blocks, so no task holds a
+   whole large group.
 
-No step drops or caps candidates; nearest points and blocks only order the work.  Sets are compared
+No step drops or caps candidates; hubs, nearest points and blocks only order the work.  Sets are compared
 by 64 bits a shingle (48 of its hash and its range), never by words: results are exact up to equal
 hashes of different shingles.
 """
@@ -477,9 +478,10 @@ def link_sets(sets: DataFrame) -> DataFrame:
     """sid, component for the sets that link to a smaller set id: components of all pairs that
     link.
 
-    Each group's sets are held against their nearest points in the tree, twice as many each time
-    while many pairs of different components are left; then every such pair that the tree lets
-    through is verified."""
+    First each group's sets are held against one hub (without it the tree's first round meets whole
+    groups of near copies, which costs more memory than an executor has), then against their nearest
+    points in the tree, twice as many each time while many pairs are left; then every pair of two
+    components that the tree lets through is verified."""
     spark = sets.sparkSession
     keys = sets.select(F.explode("keys").alias("key"), "sid", "n")
     wide = materialize(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key"), "entries")
@@ -505,19 +507,24 @@ def link_sets(sets: DataFrame) -> DataFrame:
 
     for r in range(ROUNDS + 1):
         here = labelled(wide, "sid", "component")
-        per = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-        per = per.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        mixed_keys = materialize(per.select("key", "m", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("pairs")), "keys")
+        per = here.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("sid"), "sid", "n")).alias("h"))
+        per = per.groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count(F.lit(1)).alias("parts"), F.min(F.struct("h", "component")).alias("hub")).where("parts > 1")
+        mixed_keys = materialize(per.select("key", "m", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("pairs"), F.col("hub.h.sid").alias("hub"), F.col("hub.h.n").alias("hub_n"), F.col("hub.component").alias("hub_component")), "keys")
         left = mixed_keys.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        last = left <= PAIRS_PER_SET * total or (r and n_moved - before <= total // 100) or r == ROUNDS
-        rest = here.drop("m").join(mixed_keys.select("key", "m"), "key").join(sets.select("sid", "vec"), "sid")
-        pairs = block_pairs(rest, None if last else 1 << r)
+        if r == 0:
+            near = (F.col("n") * 100 >= F.col("hub_n") * PERCENT) & (F.col("hub_n") * 100 >= F.col("n") * PERCENT)
+            stars = here.drop("m").join(mixed_keys.drop("m"), "key").where((F.col("component") != F.col("hub_component")) & near)
+            pairs = stars.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+        else:
+            last = left <= PAIRS_PER_SET * total or n_moved - before <= total // 100 or r == ROUNDS
+            rest = here.drop("m").join(mixed_keys.select("key", "m"), "key").join(sets.select("sid", "vec"), "sid")
+            pairs = block_pairs(rest, None if last else 1 << (r - 1))
         before = n_moved
         merge(verified(pairs, sets))
         remove(mixed_keys)
-        if last:
+        if r and last:
             break
     remove(wide)
     return moved
