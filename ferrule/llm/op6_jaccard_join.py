@@ -42,7 +42,7 @@ RANGE_POSTINGS, BLOCK, SLICE = 2_000_000, 2048, 1 << 20
 #: Entries of a task's frequency summary, shingles counted between two prunings, and the share of
 #: all texts from which a shingle is frequent.  At most `FREQUENT_LIST` of them, eight bytes each,
 #: go out with the tasks; any others pass through their hash ranges like rare ones.
-SUMMARY, COUNTED, FREQUENT_SHARE, FREQUENT_LIST = 1 << 18, 1 << 20, 1 / 512, 1 << 18
+SUMMARY, COUNTED, FREQUENT_SHARE, FREQUENT_LIST = 1 << 17, 1 << 18, 1 / 512, 1 << 18
 #: Pairs a task holds before it keeps each set's nearest alone.
 HELD_PAIRS = 1 << 17
 #: All pairs are asked for once those left are at most this many per set, once a round links

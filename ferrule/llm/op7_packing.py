@@ -36,31 +36,35 @@ SPECIAL = "<|endoftext|>"
 
 
 @lru_cache(maxsize=4)
-def _encoders(path: str):
-    """The tokenizer file itself, and, where the folder has its ranks, the faster library over
-    the same vocabulary."""
+def _slow(path: str):
+    """The tokenizer file itself, read once it is needed: it takes some memory."""
     from tokenizers import Tokenizer
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    slow, fast = Tokenizer.from_file(path), None
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=4)
+def _fast(path: str):
+    """Where the folder has the vocabulary's ranks, the faster library over them; else None."""
     ranks_file = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks_file):
-        import public_tokenizers
-        import tiktoken
+    if not os.path.exists(ranks_file):
+        return None
+    import public_tokenizers
+    import tiktoken
 
-        with open(ranks_file, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast
+    with open(ranks_file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, path: str) -> np.ndarray:
     """Ids of a whole text, without special ones added.  The rank file gives the same ids as
     the tokenizer file for the characters in `_PLAIN`; any other text goes to the latter."""
-    slow, fast = _encoders(path)
+    fast = _fast(path)
     if fast is not None and SPECIAL not in text and _PLAIN.fullmatch(text):
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
-    return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+    return np.array(_slow(path).encode(text, add_special_tokens=False).ids, "<u4")
 
 
 class Packer:
