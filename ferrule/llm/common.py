@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import shared_dir
 from ..shipping import ship
@@ -167,10 +169,36 @@ def bounded_texts(texts: DataFrame, order: list[tuple], room: int) -> list[tuple
     return sorted((tuple(r) for r in rows), key=lambda r: (r[0], r[2]))
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def give_back() -> None:
+    """Gives freed memory of this worker back to the system.  Spark keeps workers for later tasks,
+    and what they hold on to counts for their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """`mapInArrow` with this package shipped to the workers that run `function`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)
+
+
+def group_arrow(df: DataFrame, key: str, function, schema: str) -> DataFrame:
+    """`applyInArrow` on the groups of one column, with this package shipped to the workers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = function(table)
+        give_back()
+        return out
+
+    ship(df.sparkSession)
+    return df.groupBy(key).applyInArrow(run, schema)
 
 
 def where_text(df: DataFrame, keep) -> DataFrame:
@@ -184,5 +212,4 @@ def where_text(df: DataFrame, keep) -> DataFrame:
             for part in byte_slices(batch, "text"):
                 yield part.filter(pa.array(accepts(part.column(at).to_pylist()), pa.bool_()))
 
-    ship(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)

@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..shipping import ship
-from .common import byte_slices, free_names, map_arrow, materialize, read_table, remove, shuffle_parts
+from .common import byte_slices, free_names, group_arrow, map_arrow, materialize, read_table, remove, shuffle_parts
 
 WORDS, PERCENT = 5, 80
 GROUPS, NODE, FULL = 64, 32, 65_535
@@ -280,8 +279,7 @@ def shared_postings(blobs: DataFrame, parts: int) -> DataFrame:
                 column.append(v)
         return pa.table([*(pa.array(c, pa.int32()) for c in rows[:2]), *(pa.array(c, pa.binary()) for c in rows[2:])], names=["part", "bucket", "sids", "sizes", "counts", "hashes", "df"])
 
-    ship(blobs.sparkSession)
-    return blobs.groupBy("bucket").applyInArrow(run, "part int, bucket int, sids binary, sizes binary, counts binary, hashes binary, df binary")
+    return group_arrow(blobs, "bucket", run, "part int, bucket int, sids binary, sizes binary, counts binary, hashes binary, df binary")
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
@@ -319,8 +317,7 @@ def prefixes(shared: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         return pa.table([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["sid", "n", "hashes", "vec", "keys"])
 
-    ship(shared.sparkSession)
-    return shared.groupBy("part").applyInArrow(run, "sid long, n long, hashes binary, vec binary, keys array<long>")
+    return group_arrow(shared, "part", run, "sid long, n long, hashes binary, vec binary, keys array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -593,8 +590,7 @@ def deduplicate(documents: DataFrame) -> DataFrame:
                 ids = [set_id(s) if len(s) else None for s in shingle_sets(part.column(at))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.int64())], names=[*part.schema.names, sid])
 
-    ship(documents.sparkSession)
-    known = documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(sid, LongType())]))
+    known = map_arrow(documents, run, StructType([*documents.schema.fields, StructField(sid, LongType())]))
     side = marked.select(F.col("doc_id").alias(marked_id), F.col("sid").alias(marked_sid), F.col("stays").alias(mark))
     side = F.broadcast(side) if marked.count() <= BROADCAST_COPIES else side
     joined = known.join(side, known["doc_id"].eqNullSafe(F.col(marked_id)) & (known[sid] == F.col(marked_sid)), "left")
