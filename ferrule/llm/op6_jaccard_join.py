@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import byte_slices, free_names, group_arrow, map_arrow, materialize, read_table, remove, shuffle_parts
+from .common import byte_slices, free_names, group_arrow, local_rows, map_arrow, materialize, read_table, remove, shuffle_parts
 
 WORDS, PERCENT = 5, 80
 GROUPS, NODE, FULL = 64, 32, 65_535
@@ -483,7 +483,7 @@ def link_sets(sets: DataFrame) -> DataFrame:
     keys = sets.select(F.explode("keys").alias("key"), "sid", "n")
     wide = materialize(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "key"), "entries")
     total = sets.count()
-    moved = spark.createDataFrame([], "sid long, component long")
+    moved = local_rows(spark, [], "sid long, component long")
     n_moved = before = 0
 
     def labelled(rows: DataFrame, sid: str, name: str) -> DataFrame:

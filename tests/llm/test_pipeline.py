@@ -5,7 +5,7 @@ from fixtures_path import fx
 
 import corpus_pipeline
 from ferrule.llm import op2_quality_classifier, op3_toxicity, op4_mixing, op6_jaccard_join
-from ferrule.llm.common import materialize
+from ferrule.llm.common import local_rows, materialize
 from test_op6_jaccard_join import brute
 from test_op7_packing import check
 
@@ -71,3 +71,17 @@ def test_one_row_and_no_duplicates(spark, tmp_path):
         assert kept.count() == n  # nothing is like anything else
         units = op4_mixing.mix(materialize(op4_mixing.sized(docs), "t")).collect()
         assert sum(r.copies for r in units) == got.where("start = 0").count()
+
+
+def test_rows_of_the_driver_wake_no_further_python_workers(spark, sf, monkeypatch):
+    from pyspark import SparkContext
+
+    def refuse(*_, **__):
+        raise AssertionError("rows of the driver are read by Python workers of their own")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    for schema, rows in (("a long, b string", [(1, "x"), (None, None)]), ("a long, b int", [])):
+        df = local_rows(spark, rows, schema)
+        assert [tuple(r) for r in df.collect()] == rows and df.schema.simpleString() == f"struct<{schema.replace('long', 'bigint').replace(' ', ':').replace(',:', ',')}>"
+        assert "LocalRelation" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert corpus_pipeline.run(spark, sf).count() > 0
