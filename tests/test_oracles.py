@@ -28,3 +28,9 @@ def test_entry(spark):
 
     assert 0 < entry.entry(spark).count() <= 40
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_display_text_of_long_ages_equals_its_sql(spark, tmp_path):
+    connection = oracle.duckdb.connect()
+    connection.execute(f"COPY (SELECT unnest([0, 59, 3600, 86399, 86400, 128000])::BIGINT AS page_id, 'http://host/a/long/path/of/a/page.html' AS url) TO '{tmp_path}/pages.parquet' (FORMAT PARQUET)")
+    assert oracle.differences(queries.QUERIES["display_text"](spark, str(tmp_path)), oracle.connect(str(tmp_path)), queries.ORACLES["display_text"]) is None

@@ -229,3 +229,7 @@ def test_grouped_sums_equal_plain_ones(spark):
     for g in ("g0", "g3"):
         x = np.array([v for k, v in rows if k == g and v is not None])
         assert np.allclose(got[g][0], x.sum(0)) and got[g][1] == len(x) and np.allclose(got[g][2], (x * x).sum(0))
+
+
+def test_hours_are_the_largest_unit_without_days(spark):
+    assert each(spark, [59, 3600, 86_399, 86_400, 200_000], T.human_duration(F.col("v"), days=False), "int") == ["59s", "1h", "23h", "24h", "55h"]
