@@ -233,3 +233,9 @@ def test_grouped_sums_equal_plain_ones(spark):
 
 def test_hours_are_the_largest_unit_without_days(spark):
     assert each(spark, [59, 3600, 86_399, 86_400, 200_000], T.human_duration(F.col("v"), days=False), "int") == ["59s", "1h", "23h", "24h", "55h"]
+
+
+def test_hashing_does_not_depend_on_the_order_of_words():
+    words = [f"w{i}" for i in range(200)]
+    a, b = models.EMBEDDERS["hashing-64"].embed_docs([" ".join(words), " ".join(words[::-1])])
+    assert a.tolist() == b.tolist()
