@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import BM25_B, BM25_FILE_WEIGHTS, BM25_K1, BM25_LEAST_IDF, CANDIDATES
 from ..functions import text as T
+from ..shipping import ship
+
+#: Postings that a task holds and orders at a time, and rows of a batch that it hands on.
+RUN, HANDED = 1 << 20, 1 << 16
 
 
 def postings(docs: DataFrame, columns: tuple = ("path", "name", "body")) -> DataFrame:
@@ -69,6 +78,36 @@ def bm25(docs: DataFrame, query: str, weights: dict | None = None, candidates=No
     return _score(hits, stats, len(terms))
 
 
+def bm25_once(docs: DataFrame, query: str, keep, weights: dict | None = None, candidates=None) -> DataFrame:
+    """The same scores with one pass over the texts: a row's length and frequencies are counted in
+    Python and written down by `keep` (a function that writes a table and reads it back), and
+    statistics and scores come from those few numbers a row."""
+    terms, weights = T.query_terms(query), weights or BM25_FILE_WEIGHTS
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            long, f = np.zeros(len(batch), np.int64), np.zeros((len(terms), len(batch)))
+            for c, weight in weights.items():
+                for r, text in enumerate(batch.column(c)):
+                    words = T.words(text.as_py())
+                    if text.as_py() and not text.as_py().isascii():
+                        words = list(map(T.fold, words))
+                    long[r] += len(words)
+                    for i, (term, prefix) in enumerate(terms):
+                        f[i, r] += weight * (sum(w.startswith(term) for w in words) if prefix else words.count(term))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), pa.array(long), *map(pa.array, f)], names=["id", "path", "n_tokens", *names])
+
+    ship(docs.sparkSession)
+    names = [f"f{i}" for i in range(len(terms))]
+    made = docs.select(*dict.fromkeys(["id", "path", *weights])).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, path string, n_tokens long, " + ", ".join(f"{n} double" for n in names))
+    flat = keep(made)
+    stats = flat.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"), *(F.count(F.when(F.col(n) > 0, 1)).alias(f"n{i}") for i, n in enumerate(names)))
+    hits = flat.where(reduce(lambda a, b: a | b, (F.col(n) > 0 for n in names)))
+    return _score(hits if candidates is None else hits.where(candidates), stats, len(terms))
+
+
 def bm25_postings(index: DataFrame, doc_lengths: DataFrame, query: str, weights: dict | None = None) -> DataFrame:
     """The same scores from stored postings: the scan of the terms is pushed down, and what is
     grouped is only the postings of the query's terms."""
@@ -84,10 +123,67 @@ def bm25_postings(index: DataFrame, doc_lengths: DataFrame, query: str, weights:
 
 
 def stored(docs: DataFrame, columns: tuple = ("path", "name", "body")) -> tuple[DataFrame, DataFrame]:
-    """The index of repeated queries: postings that carry their row's n_tokens, ordered by term (a
-    frequent term is spread over several files), and the lengths they come from."""
-    long = lengths(docs, columns)
-    return ordered(postings(docs, columns).join(long, "id")), long
+    """The index of repeated queries: postings that carry their row's n_tokens, in runs ordered by
+    term, and the lengths they come from."""
+    return runs(docs, columns), lengths(docs, columns)
+
+
+class _Codes(dict):
+    """Word -> number of its folded form, which `folded` counts out."""
+
+    def __init__(self):
+        self.folded: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.folded.setdefault(T.fold(word), len(self.folded))
+        return n
+
+
+def runs(docs: DataFrame, columns: tuple = ("path", "name", "body")) -> DataFrame:
+    """id, term, tf_<column>..., n_tokens of each row, counted where the row is read: nothing is
+    shuffled or spilled.  A task hands on runs of about `RUN` postings ordered by (term, id), so that of
+    each run a query reads the pages of its terms; memory does not depend on the size of a task."""
+
+    def ordered_run(ids: list, known: dict, parts: list) -> Iterator[pa.RecordBatch]:
+        ids, size = pa.chunked_array(ids).combine_chunks(), np.array([len(p[0]) for p in parts])
+        code, tf = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        row, column = (np.repeat(x, size) for x in np.divmod(np.arange(len(parts)), len(columns)))
+        terms = sorted(known)
+        place, by_id, long = np.empty(len(terms), np.int64), np.empty(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        place[[known[t] for t in terms]] = np.arange(len(terms))
+        by_id[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        np.add.at(long, row, tf)
+        key = place[code] * len(ids) + by_id[row]
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        sums = [np.add.reduceat(np.where(column == i, tf, 0)[order], first) for i in range(len(columns))]
+        own = row[order][first]
+        found = [ids.take(pa.array(own)), pa.array(terms, pa.string()).take(pa.array(place[code[order][first]])), *map(pa.array, sums), pa.array(long[own])]
+        whole = pa.RecordBatch.from_arrays(found, names=names)
+        for start in range(0, len(whole), HANDED):
+            yield whole.slice(start, HANDED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, codes, parts, held = [], _Codes(), [], 0
+        for batch in batches:
+            start, texts = 0, [batch.column(i + 1) for i in range(len(columns))]
+            for r in range(len(batch)):
+                for x in texts:
+                    counts = Counter(T.words(x[r].as_py()))
+                    parts.append((np.fromiter(map(codes.__getitem__, counts), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))))
+                    held += len(counts)
+                if held >= RUN or r == len(batch) - 1:
+                    ids.append(batch.column(0).slice(start, r + 1 - start))
+                    start = r + 1
+                if held >= RUN:
+                    yield from ordered_run(ids, codes.folded, parts)
+                    ids, codes, parts, held = [], _Codes(), [], 0
+        if held:
+            yield from ordered_run(ids, codes.folded, parts)
+
+    ship(docs.sparkSession)
+    names = ["id", "term", *(f"tf_{c}" for c in columns), "n_tokens"]
+    return docs.select("id", *columns).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, term string, " + ", ".join(f"`{n}` long" for n in names[2:]))
 
 
 def ordered(rows: DataFrame) -> DataFrame:
@@ -95,6 +191,15 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
 
 
+def statistics_of(stored_postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """n_docs, avg_tokens in one row from `runs` of `docs`: each token is in one posting, so no text
+    is read again."""
+    tokens = reduce(lambda a, b: a + b, (F.col(c) for c in stored_postings.columns if c.startswith("tf_")))
+    total = stored_postings.agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("total"))
+    counted = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(F.broadcast(total))
+    return counted.select("n_docs", F.when(F.col("n_docs") > 0, F.col("total") / F.col("n_docs")).otherwise(0.0).alias("avg_tokens"))
+
+
 def statistics(doc_lengths: DataFrame) -> DataFrame:
     """n_docs, avg_tokens in one row."""
     return doc_lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("n_tokens"), F.lit(0.0)).alias("avg_tokens"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,7 +41,8 @@ class Index:
 
     With stored postings and statistics (see `lexical.stored`), no text is read but that of the rows
     shown; without them, texts are counted for the query at hand.  With codes, files are ranked by
-    the int8 store."""
+    the int8 store.  With `keep` (it writes a table down and reads it back), texts without postings
+    are read once for a query."""
 
     files: DataFrame
     vectors: DataFrame
@@ -53,6 +55,7 @@ class Index:
     dir_postings: DataFrame | None = None
     dir_stats: DataFrame | None = None
     codes: DataFrame | None = None
+    keep: Callable[[DataFrame], DataFrame] | None = None
 
 
 def looks_like_path(word: str) -> bool:
@@ -138,6 +141,8 @@ def arms(index: Index, request: SearchRequest) -> dict[str, DataFrame]:
         if index.postings is not None:
             hits = lexical.bm25_stored(index.postings, index.stats, request.text)
             hits = hits.join(index.files.where(scope).select("id"), "id", "left_semi") if request.scopes else hits
+        elif index.keep is not None:
+            hits = lexical.bm25_once(index.files, request.text, index.keep, candidates=scope)
         else:
             hits = lexical.bm25(index.files, request.text, candidates=scope)
         out["file_lexical"] = lexical.top(hits.join(in_topic, "id", "left_semi") if in_topic is not None else hits)
