@@ -16,6 +16,8 @@ from .ranking import ranked
 
 #: Queries and rows per block of a batch search: a pair of blocks is what a task holds.
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
+#: Scores that a task makes at a time.
+SCORES = 1 << 20
 #: Queries that are broadcast at most (their vectors, eight bytes an element).
 BROADCAST_QUERIES = 50_000
 
@@ -32,6 +34,15 @@ def top_dense(vectors: DataFrame, query, k: int = CANDIDATES, floor: float | Non
 
 
 def _search(ids: np.ndarray, matrix: np.ndarray, k: int):
+    """The k best rows of each query over all batches.  Scores are made for a few queries at a time
+    (`SCORES` of them), so memory depends neither on the number of queries nor on that of the rows."""
+
+    def best_of(q: np.ndarray, own: np.ndarray, scores: np.ndarray) -> tuple:
+        order = np.lexsort((own, -scores, q))
+        place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+        kept = order[place < k]
+        return q[kept], own[kept], scores[kept]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
@@ -39,14 +50,15 @@ def _search(ids: np.ndarray, matrix: np.ndarray, k: int):
             if not len(own):
                 continue
             rows = V.matrix(batch.column(1))
-            scores, own = np.round(matrix @ rows.T, 6), np.broadcast_to(own, (len(ids), len(own)))
-            if best is not None:
-                scores, own = np.hstack([best[0], scores]), np.hstack([best[1], own])
-            order = np.lexsort((own, -scores), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, 1), np.take_along_axis(own, order, 1)
+            found, step = [best] if best is not None else [], max(1, SCORES // len(own))
+            for start in range(0, len(ids), step):
+                scores = np.round(matrix[start : start + step] @ rows.T, 6)
+                least = np.partition(scores, len(own) - k, axis=1)[:, len(own) - k, None] if len(own) > k else -np.inf
+                q, r = np.nonzero(scores >= least)  # all that tie with the k-th
+                found.append(best_of(q + start, own[r], scores[q, r]))
+            best = best_of(*(np.concatenate(x) for x in zip(*found, strict=True))) if len(found) > 1 else found[0]
         if best is not None:
-            n = best[0].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
 
     return run
 
@@ -72,10 +84,10 @@ def top_dense_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q, ids, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.FixedSizeListArray.from_arrays(np.frombuffer(x, np.float64), len(x) // 8 // len(ids))], names=["id", "vector"])
-                yield from _search(q_ids, np.frombuffer(q, np.float64).reshape(len(q_ids), -1), k)(iter([rows]))
+            for i in range(len(batch)):  # views of the batch, no copies
+                (q_ids, ids), (q, x) = ([np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c in at] for at, kind in (((0, 2), np.int64), ((1, 3), np.float64)))
+                rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.FixedSizeListArray.from_arrays(x, len(x) // len(ids))], names=["id", "vector"])
+                yield from _search(q_ids, q.reshape(len(q_ids), -1), k)(iter([rows]))
 
     live = lambda df, key: df.where(F.col("vector").isNotNull()).select(F.col(key).cast("long"), V.doubles(F.col("vector")).alias("vector"))
     blocks = live(queries, "query_id").mapInArrow(packed(block), "ids binary, x binary").select(F.col("ids").alias("q_ids"), F.col("x").alias("q"))

@@ -239,3 +239,23 @@ def test_hashing_does_not_depend_on_the_order_of_words():
     words = [f"w{i}" for i in range(200)]
     a, b = models.EMBEDDERS["hashing-64"].embed_docs([" ".join(words), " ".join(words[::-1])])
     assert a.tolist() == b.tolist()
+
+
+def test_search_memory_does_not_grow_with_the_block(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows, asked = rng.integers(-2, 3, (4096, 8)) * 0.5, rng.integers(-2, 3, (1024, 8)) * 0.5  # many ties
+    ids = rng.permutation(4096)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.FixedSizeListArray.from_arrays(rows.ravel(), 8)], names=["id", "vector"])
+    tracemalloc.start()
+    got = list(dense._search(np.arange(1024), asked, 10)(iter([batch.slice(0, 3000), batch.slice(3000)])))[0].to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    scores = asked @ rows.T
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :10]
+    assert got["query_id"] == np.repeat(np.arange(1024), 10).tolist() and got["id"] == ids[order].ravel().tolist()
+    assert got["score"] == np.take_along_axis(scores, order, 1).ravel().tolist()
+    assert peak < 64 << 20  # one block of scores alone has 32 MB
